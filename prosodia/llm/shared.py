@@ -134,12 +134,13 @@ def rolling(values: np.ndarray, n: int) -> np.ndarray:
 class Words:
     """The words of a run of texts: ``hash`` per word, and ``first[d]:first[d+1]`` those of text d."""
 
-    def __init__(self, texts: pa.Array, lower: bool):
+    def __init__(self, texts: pa.Array, lower: bool, apart: np.ndarray = _SPACE):
+        """apart: of each byte, whether it parts words."""
         data, ends = text_bytes(texts)
         n = len(data)
         if lower:
             data = _LOWER[data]
-        word = ~_SPACE[data]
+        word = ~apart[data]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         bounds = ends[:-1][ends[:-1] < n]
@@ -156,6 +157,13 @@ class Words:
         self.hash = mix((sums[self.end] - sums[self.begin]) * down[self.begin])
 
 
+def ascii_letters_apart() -> np.ndarray:
+    """A table for Words: every ASCII byte but letters and digits parts words."""
+    apart = np.arange(256) < 128
+    apart[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+    return apart
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and the n + 1 offsets between them; null is empty."""
     if texts.null_count:
@@ -178,3 +186,23 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def sum_arrays(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """Element-wise sums of (chunk int, counts binary) rows of one dtype, per chunk, on the driver.
+
+    Rows are added in two levels, by 64 tasks and then all, so no task holds more than a fixed number
+    of arrays at once; what comes to the driver has a size fixed by the caller's arrays.
+    """
+    wide = "<i8" if np.dtype(dtype).kind in "iu" else "<f8"
+
+    def add(group: pa.Table) -> pa.Table:
+        total = None
+        for c in group["counts"]:
+            own = np.frombuffer(c.as_buffer(), dtype=wide if group["wide"][0].as_py() else dtype).astype(wide)
+            total = own if total is None else total + own
+        return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": [total.tobytes()], "wide": [True]})
+
+    schema = "chunk int, counts binary, wide boolean"
+    once = parts.select("chunk", "counts", F.lit(False).alias("wide"), F.floor(F.spark_partition_id() / 64).alias("at")).groupBy("chunk", "at").applyInArrow(add, schema)
+    return {r.chunk: np.frombuffer(r.counts, dtype=wide) for r in once.groupBy("chunk").applyInArrow(add, schema).collect()}

@@ -38,4 +38,53 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(t.taken, 0) AS B
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
 """
 
-ORACLES = {"op8_mixing": OP8}
+WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = (
+    """
+WITH RECURSIVE w AS (
+  SELECT doc_id, WORDS AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM s
+), e AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 85 * (x.n + y.n - inter)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(reach.b) AS BIGINT) AS component_id
+FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+).replace("WORDS", WORDS.replace("{text}", LOWER))
+
+OP5 = (
+    """
+WITH w AS (
+  SELECT doc_id, WORDS AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM w WHERE len(w) >= 20
+), h AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s+19], ' ') ORDER BY doc_id, s) AS nth FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, s + j AS i FROM h, range(0, 20) AS r(j) WHERE nth > 1
+), word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w
+), kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word.i) AS t
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+).replace("WORDS", WORDS.replace("{text}", "coalesce(text, '')"))
+
+ORACLES = {"op4_ngram_jaccard": OP4, "op5_substring_dedup": OP5, "op8_mixing": OP8}
