@@ -56,7 +56,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, fraction: float = 1.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for every row; copies is taken / size.
+    """doc_id, source, __crc, size, source_size, target, taken, copies for every row; copies is taken / size.
 
     Order within a source: md5 of the doc_id's digits, then doc_id, then the text's checksum, so
     reruns agree and only rows equal in all three are interchangeable. Null text has size 0 and is
@@ -81,4 +81,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, frac
     times = served.groupBy(F.col("__flow").alias("__of"), F.col("__cum").alias("__at")).agg(F.count("*").alias("__times"))
     out = queued.join(times, (F.col("__flow") == F.col("__of")) & (F.col("__cum") == F.col("__at")) & (F.col("size") > 0), "left")
     copies = F.coalesce("__times", F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return out.select("doc_id", "source", "__crc", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows equal in doc_id, source and text are one row that is taken as often as they are together.
+    """
+    taken = mix(docs, weights, most).filter("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__crc").alias("__c")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    taken = materialize(taken, "taken")
+    crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__d")) & docs["source"].eqNullSafe(F.col("__s")) & (crc == F.col("__c")))
+    # only rows of a group that has repeated ones need to meet
+    once = out.filter("__rows = 1").unionByName(out.filter("__rows > 1").dropDuplicates(["__d", "__s", "__c"]))
+    repeated = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosodia.llm import ann, hilbert, hmm, langid, mixing, ngram_join, substring, token_ids, toxicity
+from prosodia.llm import ann, decontaminate, hilbert, hmm, langid, mixing, ngram_join, substring, token_ids, toxicity
 from prosodia.llm.sql import ORACLES
 
 
@@ -25,6 +25,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_table(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), "similarity")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = langid.fold(F.col("doc_id")) == 0
@@ -69,6 +74,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_decontamination": op2_decontamination,
         "op3_language": op3_language,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_substring_dedup": op5_substring_dedup,
