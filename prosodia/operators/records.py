@@ -133,7 +133,7 @@ def scores(word_rows: DataFrame, syllable_rows: DataFrame, rates: DataFrame, key
         key,
         F.round(100 * (0.2 * F.col("loud") + 0.4 * F.col("core") + 0.4 * F.col("count")), 1).alias("syllable_acoustics"),
         F.round(100 * F.col("stress"), 1).alias("stress_match"),
-        F.round(redux, 1).alias("vowel_reduction"),
+        F.round(F.when(F.col("ratio").isNotNull(), redux), 1).alias("vowel_reduction"),
         F.round(F.when(F.col("rate") > 0, tempo), 1).alias("speech_tempo"),
     )
 
