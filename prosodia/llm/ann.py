@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import materialize
+from prosodia.llm.shared import materialize, sample_rows
 
-#: Vectors that the codebooks are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the codebooks are fitted on, and of them those that give each query a floor, at most.
+SAMPLE, FLOORS = 20_000, 8_192
 #: Vectors in a bin and queries in a block, about.
 BIN, BLOCK = 2_048, 4_096
 
@@ -84,8 +84,8 @@ def _best(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
         q, v = _matrix(queries["v"]), _matrix(index["v"])
         cell, uid, ids = index["cell"].to_numpy(), index["uid"].to_numpy(), index["ids"].to_pylist()
         rough = q.astype(np.float32) @ v.astype(np.float32).T
-        for r, (qid, cells) in enumerate(zip(queries["vec_id"].to_pylist(), queries["cells"].to_pylist(), strict=True)):
-            own = np.flatnonzero(np.isin(cell, cells))
+        for r, (qid, cells, floor) in enumerate(zip(queries["vec_id"].to_pylist(), queries["cells"].to_pylist(), queries["floor"].to_pylist(), strict=True)):
+            own = np.flatnonzero(np.isin(cell, cells) & (rough[r] >= floor))
             if len(own) > 3 * k:
                 own = own[np.argpartition(-rough[r, own], 3 * k)[: 3 * k]]
             exact = (v[own] * q[r]).sum(axis=1)
@@ -96,10 +96,11 @@ def _best(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
     return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.4, least: int = 4_000, centroids: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.5, least: int = 4_000, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose vec_id is divisible by ``every``.
 
-    A query looks at the cells of at least ``max(least, share * distinct vectors)`` vectors; measured
+    A sampled vector of a visited cell is a candidate itself, so the (k + 1)th best of those bounds what can be among
+    the k best; worse candidates don't leave their task. A query looks at the cells of at least ``max(least, share * distinct vectors)`` vectors; measured
     recall is in the README. Vectors that are null, zero, of another length than the most common one or
     with null or non-finite components take no part. Ties go to the smaller vec_id; rows that repeat a
     vec_id with equal vectors are one candidate. An empty table gives no rows.
@@ -114,8 +115,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.4,
     unique = materialize(distinct_vectors(good, k + 1), "vectors")
     n = unique.count()
     cut = length.d // 2 or 1
-    sample = np.array([r.v for r in unique.orderBy(F.xxhash64("uid")).select("v").limit(SAMPLE).collect()], dtype=np.float32)
-    many = centroids or min(256, max(4, math.ceil(math.sqrt(n / 200))))
+    sample = np.array([r.v for r in sample_rows(unique, SAMPLE, by="uid").select("v").collect()], dtype=np.float32)
+    many = centroids or min(256, max(32, math.ceil(math.sqrt(n / 50))))
     books = spark.sparkContext.broadcast((kmeans(sample[:, :cut], many), kmeans(sample[:, cut:], many) if length.d > 1 else np.zeros((1, 0), dtype=np.float32)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,30 +146,42 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.4,
         else:
             room -= int(held[cell])
     enough = max(least, math.ceil(share * n))
-    plan = spark.sparkContext.broadcast((held, first_bin, cuts))
+    few = sample[:FLOORS]
+    near = lambda x, c: np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
+    few_cells = near(few[:, :cut], left) * len(right) + near(few[:, cut:], right)
+    plan = spark.sparkContext.broadcast((held, first_bin, cuts, few, few_cells))
     blocks = max(1, math.ceil(n / every / BLOCK))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = books.value
-        held, first_bin, cuts = plan.value
+        held, first_bin, cuts, few, few_cells = plan.value
         for b in batches:
             if not b.num_rows:
                 continue
             ids, q = b.column(0).to_pylist(), _matrix(b.column(1))
             s1, s2 = q[:, :cut] @ left.T, q[:, cut:] @ right.T
             rows: list[tuple] = []
+            rough = q.astype(np.float32) @ few.T
+            seen = np.zeros(len(held), dtype=bool)
             for r, qid in enumerate(ids):
                 bins: dict[int, list[int]] = {}
-                for cell in walk(s1[r], s2[r], held, enough):
+                cells = walk(s1[r], s2[r], held, enough)
+                for cell in cells:
                     for part in range(int(cuts[cell])):
                         bins.setdefault(int(first_bin[cell]) + part, []).append(cell)
-                rows += [(qid, r, at, cells) for at, cells in bins.items()]
+                seen[:] = False
+                seen[cells] = True
+                mine = rough[r, seen[few_cells]]
+                # single precision may be off by a little
+                floor = float(np.partition(mine, -k - 1)[-k - 1]) if len(mine) > k else -math.inf
+                floor -= 1e-5 * (1 + abs(floor)) if floor > -math.inf else 0.0
+                rows += [(qid, r, at, own, floor) for at, own in bins.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.int64()), b.column(1).take(pa.array([x[1] for x in rows])), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int32()))],
-                names=["vec_id", "v", "bin", "cells"],
+                [pa.array([x[0] for x in rows], pa.int64()), b.column(1).take(pa.array([x[1] for x in rows])), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int32())), pa.array([x[4] for x in rows], pa.float64())],
+                names=["vec_id", "v", "bin", "cells", "floor"],
             )
 
-    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(visit, "vec_id long, v array<double>, bin long, cells array<int>")
+    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(visit, "vec_id long, v array<double>, bin long, cells array<int>, floor double")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     place = spark.createDataFrame([(c, int(first_bin[c]), int(cuts[c])) for c in sizes], "cell int, bin0 long, cuts long")
     dealt = index.join(F.broadcast(place), "cell").select("uid", "v", "ids", "cell", (F.col("bin0") + F.pmod(F.xxhash64("uid"), F.col("cuts"))).alias("bin"))

@@ -43,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a scratch table and read it back: no recomputation, no local blocks."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -206,3 +206,14 @@ def sum_arrays(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     schema = "chunk int, counts binary, wide boolean"
     once = parts.select("chunk", "counts", F.lit(False).alias("wide"), F.floor(F.spark_partition_id() / 64).alias("at")).groupBy("chunk", "at").applyInArrow(add, schema)
     return {r.chunk: np.frombuffer(r.counts, dtype=wide) for r in once.groupBy("chunk").applyInArrow(add, schema).collect()}
+
+
+def sample_rows(df: DataFrame, n: int, by: str) -> DataFrame:
+    """At most ``n`` rows, those with the least hash of ``by``; all rows if there are no more.
+
+    The hash's bound follows from the number of rows, so no task gathers candidates of others.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(by), F.lit(1 << 32)) < int(0.97 * n / total * (1 << 32))).limit(n)
