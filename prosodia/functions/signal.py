@@ -114,7 +114,7 @@ def find_peaks(x: np.ndarray, prominence: float | None = None, distance: int = 1
     return p[ok], prom[ok]
 
 
-def pitch(x: np.ndarray, rate: int, low: float = 70.0, high: float = 400.0, window: float = 0.040, hop: float = HOP) -> tuple[np.ndarray, np.ndarray]:
+def pitch(x: np.ndarray, rate: int, low: float = 65.0, high: float = 450.0, window: float = 0.040, hop: float = HOP) -> tuple[np.ndarray, np.ndarray]:
     """f0 (0 where unvoiced) and periodicity per frame."""
     n = int(window * rate)
     f = frames(x, rate, 2 * window, hop)
@@ -313,30 +313,45 @@ def acoustic_stress(syllables: list[dict], f0: list[float] | None = None) -> tup
 
 @dataclass(frozen=True)
 class Settings:
-    strong_prominence: float = 0.28
-    weak_prominence: float = 0.10
-    strong_confidence: float = 0.30
-    weak_confidence: float = 0.42
-    weak_vowel: float = 0.52
-    weak_periodicity: float = 0.32
-    strong_min_periodicity: float = 0.15
+    """What a search may change; names are those of the settings files that tools exchange."""
+
+    strong_prominence: float = 0.60
+    weak_prominence: float = 0.20
+    strong_min_confidence: float = 0.43
+    weak_min_confidence: float = 0.60
+    strong_min_periodicity: float = 0.0
     strong_min_strength: float = 0.0
-    peak_distance: float = 0.035
-    nms_distance: float = 0.055
-    smoothing: float = 0.022
-    speech_range_db: float = 34.0
-    name: str = "default"
+    strong_min_vowel_likeness: float = 0.30
+    min_distance_seconds: float = 0.055
+    smoothing_seconds: float = 0.022
+    speech_floor_db: float = 34.0
+    name: str = "baseline"
 
     def with_(self, **changes) -> Settings:
         return replace(self, **changes)
 
 
-#: Recall-oriented with a gate against noise: what production runs use.
-PRODUCTION = Settings(name="recall_4_noise_gate", weak_prominence=0.08, weak_confidence=0.40, strong_min_periodicity=0.20)
+def _preset(name: str, strong: float, weak: float, strong_conf: float, weak_conf: float, **more) -> Settings:
+    return Settings(strong_prominence=strong, weak_prominence=weak, strong_min_confidence=strong_conf, weak_min_confidence=weak_conf, name=name, **more)
+
 
-# Fixed band edges in Hz and their weights.
-BANDS = ((80, 300), (300, 800), (800, 1500), (1500, 2500), (2500, 3500), (3500, 5000), (5000, 7500))
+# The presets of the search, and what production runs use (recall-oriented, gated against noise).
+PRESETS = (
+    Settings(),
+    _preset("recall_1", 0.50, 0.16, 0.40, 0.56),
+    _preset("recall_2", 0.45, 0.12, 0.38, 0.52),
+    _preset("recall_3", 0.40, 0.10, 0.36, 0.50),
+    _preset("recall_4", 0.35, 0.08, 0.34, 0.48),
+    _preset("weak_vowels_1", 0.50, 0.10, 0.40, 0.48),
+    _preset("close_nuclei_1", 0.45, 0.12, 0.38, 0.52, min_distance_seconds=0.045),
+    _preset("close_nuclei_2", 0.35, 0.08, 0.34, 0.48, min_distance_seconds=0.045),
+)
+PRODUCTION = _preset("recall_4_noise_gate", 0.35, 0.08, 0.34, 0.48, strong_min_periodicity=0.0, strong_min_strength=0.4, strong_min_vowel_likeness=0.45)
+
+# Band edges in Hz and their weights, and what a weak candidate must show besides its confidence.
+BANDS = ((60, 370), (370, 800), (800, 1400), (1400, 2250), (2250, 3450), (3450, 5130), (5130, 7500))
 BAND_WEIGHTS = (0.20, 0.95, 1.00, 0.62, 0.18, -0.08, -0.12)
+PEAK_DISTANCE, WEAK_VOWEL, WEAK_PERIODICITY = 0.035, 0.52, 0.32
 
 
 def robust_z(v: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -359,7 +374,7 @@ def tracks(x: np.ndarray, rate: int, s: Settings) -> dict[str, np.ndarray]:
     x = x / peak if peak > 1 else x
     power, f = power_spectrum(x, rate)
     level = rms_db(x, rate)
-    speech = level >= np.percentile(level, 95) - s.speech_range_db
+    speech = level >= np.percentile(level, 95) - s.speech_floor_db
     votes = np.pad(speech.astype(int), 1, mode="edge")
     speech = votes[:-2] + votes[1:-1] + votes[2:] >= 2
     bands = np.stack([10 * np.log10(power[:, (f >= a) & (f < b)].mean(axis=1) + 1e-10) if ((f >= a) & (f < b)).any() else np.full(len(power), -100.0) for a, b in BANDS])
@@ -378,7 +393,7 @@ def tracks(x: np.ndarray, rate: int, s: Settings) -> dict[str, np.ndarray]:
     sonorant = sigmoid(1.4 * (z[0, :n] - z[1:3, :n].mean(axis=0) - 0.65))
     vowel = sigmoid(0.62 * mid - 0.28 * high + 1.15 * (periodic - 0.40) + 0.38 * zcr[:n] + 0.30 * flat[:n] - 0.50 * sonorant)
     speech = speech[:n]
-    envelope = gaussian(sonority[:n] + 0.42 * (periodic - 0.5) + 0.30 * (vowel - 0.5) - 0.12 * np.maximum(flux[:n], 0), max(0.5, s.smoothing / HOP))
+    envelope = gaussian(sonority[:n] + 0.42 * (periodic - 0.5) + 0.30 * (vowel - 0.5) - 0.12 * np.maximum(flux[:n], 0), max(0.5, s.smoothing_seconds / HOP))
     envelope = np.where(speech, envelope, (envelope[speech].min() if speech.any() else envelope.min()) - 2)
     likelihood = np.where(speech, sigmoid(1.15 * robust_z(envelope, speech) + 1.00 * (vowel - 0.5) + 0.65 * (periodic - 0.5)), 0.0)
     return {"envelope": envelope, "likelihood": likelihood, "periodicity": periodic, "vowel": vowel, "sonorant": sonorant, "flux": sigmoid(1 - flux[:n]), "speech": speech, "bands": bands[:, :n], "f0": f0[:n], "mfcc": mfcc(power, rate)[:n]}
@@ -398,7 +413,7 @@ def detect_nuclei(x: np.ndarray, rate: int, s: Settings = PRODUCTION) -> tuple[l
     env, speech = t["envelope"], t["speech"]
     if not speech.any() or np.ptp(env[speech]) < 1e-9:
         return [], t
-    apart = max(1, round(s.peak_distance / HOP))
+    apart = max(1, round(PEAK_DISTANCE / HOP))
     padded = np.pad(env, 1, constant_values=env.min() - 1e-6)
     strong, strong_prom = find_peaks(padded, s.strong_prominence, apart)
     weak, weak_prom = find_peaks(padded, s.weak_prominence, apart)
@@ -415,10 +430,13 @@ def detect_nuclei(x: np.ndarray, rate: int, s: Settings = PRODUCTION) -> tuple[l
         per, vow, son = float(t["periodicity"][k]), float(t["vowel"][k]), float(t["sonorant"][k])
         conf = 0.20 * strength + 0.22 * jut + 0.27 * vow + 0.22 * per + 0.09 * float(t["flux"][k]) - 0.12 * son
         recovered = k not in set((strong - 1).tolist())
-        ok = conf >= s.weak_confidence and vow >= s.weak_vowel and per >= s.weak_periodicity if recovered else conf >= s.strong_confidence and per >= s.strong_min_periodicity and strength >= s.strong_min_strength
+        if recovered:
+            ok = conf >= s.weak_min_confidence and vow >= WEAK_VOWEL and per >= WEAK_PERIODICITY
+        else:
+            ok = conf >= s.strong_min_confidence and per >= s.strong_min_periodicity and strength >= s.strong_min_strength and vow >= s.strong_min_vowel_likeness
         if ok:
             found.append({"frame": k, "time_seconds": round(k * HOP, 6), "confidence": round(conf, 6), "prominence": round(float(prom[k]), 6), "strength": round(strength, 6), "periodicity": round(per, 6), "vowel_likeness": round(vow, 6), "sonorant_penalty": round(son, 6), "weak_recovery": recovered})
-    return suppress(found, max(1, round(s.nms_distance / HOP))), t
+    return suppress(found, max(1, round(s.min_distance_seconds / HOP))), t
 
 
 def best_time(t: dict[str, np.ndarray], start: float, end: float) -> float:

@@ -14,10 +14,24 @@ def grid(spark: SparkSession, **axes: list) -> DataFrame:
     return spark.createDataFrame(rows, ["grid_idx", *axes])
 
 
-#: Sizes of the searches: contour settings, gate settings, segment settings.
-CONTOUR_AXES = {"prominence": [1.0, 1.5, 2.0, 2.5, 3.0, 4.0], "distance_ms": [40, 50, 60, 70, 80], "floor_db": [15, 18, 20, 25, 30], "gain_db": [0.0, 1.0, 2.0, 3.0, 4.0]}
-GATE_AXES = {"periodicity": [0.00, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40], "strength": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5], "vowel": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]}
-SEGMENT_AXES = {"norm": [1.8, 2.0, 2.2, 2.4, 2.6, 2.8, 3.0, 3.2, 3.4], "merge": [0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]}
+# The axes of the searches (contour settings, gates, segmentations).
+CONTOUR_AXES = {
+    "dip_db": [2.0, 3.0, 4.0, 5.0, 6.0, 7.0],
+    "distance_s": [0.06, 0.08, 0.10, 0.12, 0.14],
+    "gain_db": [0.0, 2.0, 4.0, 6.0, 8.0],
+    "floor_db": [20.0, 25.0, 30.0, 35.0, 40.0],
+}
+GATE_AXES = {
+    "periodicity": [0.0, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50],
+    "strength": [0.0, 0.25, 0.30, 0.35, 0.40, 0.45],
+    "vowel": [0.30, 0.35, 0.40, 0.45, 0.50, 0.55],
+}
+SEGMENT_AXES = {
+    "norm": [2.2, 2.3, 2.4, 2.5, 2.6, 2.7, 2.8, 2.9, 3.0],
+    "merge": [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90],
+}
+VOTE_NORMS = [2.2, 2.3, 2.4, 2.5, 2.6, 2.7, 2.8, 2.9, 3.0, 3.1]
+VOTE_MERGES = [0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
 
 
 def gate(candidates: DataFrame, settings: DataFrame) -> DataFrame:

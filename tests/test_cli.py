@@ -17,7 +17,7 @@ def test_jobs(spark, tmp_path):
     (tmp_path / "analyses/r_syllable_analysis.json").write_text(json.dumps(record()))
     (tmp_path / "words/w.json").write_text("\n".join(json.dumps({"recording_id": "r", "word_idx": i, "word": w, "start": s, "end": e, "conf": 0.9}) for i, (w, s, e) in enumerate([("ма", 0.2, 0.45), ("мама", 0.55, 1.3)])))
     (tmp_path / "hyp/h.json").write_text(json.dumps({"recording_id": "r", "engine": "e", "text": "ма"}))
-    (tmp_path / "s.json").write_text(json.dumps({"best": {"overrides": {"weak_confidence": 0.9, "unknown": 1}}}))
+    (tmp_path / "s.json").write_text(json.dumps({"best": {"overrides": {"weak_min_confidence": 0.9, "unknown": 1}}}))
     run = lambda *a: (lambda p: p.job(spark, p))(cli.parser().parse_args(list(a)))
     run("analyse", "--audio", f"{d}/audio", "--words", f"{d}/words", "--texts", f"{d}/texts", "--out", f"{d}/a")
     assert spark.read.parquet(f"{d}/a/words").count() == 2 and spark.read.parquet(f"{d}/a/comparison").first().word_accuracy == 1.0

@@ -77,7 +77,7 @@ def test_nuclei_of_bursts_and_noise():
     noise[4000:5200] = np.random.default_rng(7).normal(0, 0.3, 1200)
     assert signal.detect_nuclei(noise, 16000, signal.PRODUCTION.with_(strong_min_periodicity=0.95))[0] == []
     assert signal.detect_nuclei(np.zeros(16000), 16000)[0] == []
-    assert signal.PRODUCTION.name == "recall_4_noise_gate"
+    assert signal.PRODUCTION.name == "recall_4_noise_gate" and len(signal.PRESETS) == 8
 
 
 def test_word_kernels():
