@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 
 from prosodia.functions.deferred import arrow_function
@@ -23,25 +24,27 @@ def align(system: list[str], ground: list[str]) -> list[tuple[int | None, int |
 
     Of equal costs a pair comes before skipping a ground word before skipping a system word.
     """
-    a, b = [w.lower() for w in system], [w.lower() for w in ground]
-    cost = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    how = [[""] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            choices = []
-            if i and j:
-                choices.append((cost[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else 2), "pair"))
-            if j:
-                choices.append((cost[i][j - 1] + 1, "ground"))
-            if i:
-                choices.append((cost[i - 1][j] + 1, "system"))
-            if choices:
-                cost[i][j], how[i][j] = min(choices, key=lambda c: c[0])
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(w.lower(), len(codes)) for w in x], dtype=np.int64) for x in (system, ground))
+    cost = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
+    along = np.arange(len(b) + 1)
+    cost[0] = along
+    for i in range(1, len(a) + 1):
+        row = cost[i - 1] + 1
+        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + np.where(b == a[i - 1], 0, 2))
+        # skipping ground words adds one each: a running minimum
+        cost[i] = np.minimum.accumulate(row - along) + along
     out, i, j = [], len(a), len(b)
     while i or j:
-        step = how[i][j]
-        i, j = i - (step != "ground"), j - (step != "system")
-        out.append((i if step != "ground" else None, j if step != "system" else None))
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else 2):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif j and cost[i, j] == cost[i, j - 1] + 1:
+            j -= 1
+            out.append((None, j))
+        else:
+            i -= 1
+            out.append((i, None))
     return out[::-1]
 
 
@@ -123,17 +126,22 @@ def merged_times(texts: pd.Series, timed: pd.Series) -> pd.Series:
 
 def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of a least edit; of equal totals the least (S, D, I)."""
-    row = [(j, 0, 0, j) for j in range(len(hypothesis) + 1)]
-    for i, x in enumerate(reference, 1):
-        above, row = row, [(i, 0, i, 0)]
-        for j, y in enumerate(hypothesis, 1):
-            same, (n, s, d, k) = x == y, above[j - 1]
-            pair = (n, s, d, k) if same else (n + 1, s + 1, d, k)
-            n, s, d, k = above[j]
-            drop = (n + 1, s, d + 1, k)
-            n, s, d, k = row[j - 1]
-            row.append(min(pair, drop, (n + 1, s, d, k + 1)))
-    return row[-1][1:]
+    # total, S, D and I in one integer, most significant first, so that the least integer is the answer
+    bits = max(1, max(len(reference), len(hypothesis), 1).bit_length())
+    one, sub, drop, extra = 1 << 3 * bits, 1 << 2 * bits, 1 << bits, 1
+    if 4 * bits > 62:
+        raise ValueError("texts of more than 32767 words")
+    codes: dict[str, int] = {}
+    a, b = ([codes.setdefault(w, len(codes)) for w in x] for x in (reference, hypothesis))
+    b = np.array(b, dtype=np.int64)
+    along = np.arange(len(b) + 1, dtype=np.int64) * (one + extra)
+    row = along
+    for x in a:
+        new = row + (one + drop)
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == x, 0, one + sub))
+        row = np.minimum.accumulate(new - along) + along
+    n = int(row[-1])
+    return (n >> 2 * bits) & (sub // drop - 1), (n >> bits) & (drop - 1), n & (drop - 1)
 
 
 @arrow_function("s int, d int, i int")
