@@ -11,7 +11,7 @@ context, wherever the window occurs.
 Each window of ``width`` words picks as its anchor the certain symbol of the highest level with the
 greatest fingerprint, so equal windows have equal anchors; about one word in eight is the context of an
 anchor. Only anchors go through a shuffle to find those that occur again, and only windows with
-such an anchor are then compared by 128 bits of their words.
+such an anchor are then compared, by 64 bits of all their words beside those of the anchor.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosodia.llm.shared import Words, materialize, mix, pieces, powers, rolling
 
 ROUNDS = 3
+#: Occurrences of one anchor that are compared in one place, about.
+HOT = 20_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 26) - 1)
 _FAR = np.int64(1 << 40)
@@ -134,11 +136,14 @@ def anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return starts, anchor, np.concatenate(keys)
 
 
-def _keys(width: int):
+def _keys(width: int, bits: int):
+    """mapInArrow: a row a document with the keys of its anchors, ``bits`` of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             words = Words(piece.column(2), lower=False)
             starts, anchor, keys = anchors(words, width)
+            keys = keys >> np.uint64(64 - bits)
             first = np.zeros(len(keys), dtype=np.int64)
             first[anchor[::-1]] = starts[::-1]
             doc = np.searchsorted(words.first, first, side="right") - 1
@@ -149,27 +154,42 @@ def _keys(width: int):
     return run
 
 
-def _windows(width: int):
-    """mapInArrow: (doc_id, row, text, keys) -> the windows whose anchor is among the keys."""
+def _windows(width: int, bits: int):
+    """mapInArrow: (doc_id, row, text, wanted) -> a row for each run of windows with one repeated anchor.
+
+    ws: fingerprints of the windows that start at base, base + 1, ...
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             words = Words(piece.column(2), lower=False)
             starts, anchor, keys = anchors(words, width)
-            if not len(starts):
+            keys = keys >> np.uint64(64 - bits)
+            wanted = piece.column(3).flatten()
+            if not len(starts) or not len(wanted):
+                continue
+            known, at = np.unique(wanted.field("key").to_numpy(zero_copy_only=False), return_index=True)
+            known, salts = known.view(np.uint64), wanted.field("salts").to_numpy(zero_copy_only=False)[at]
+            order = np.argsort(known)
+            known, salts = known[order], salts[order]
+            near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            again = known[near] == keys
+            hit = again[anchor]
+            own, its = starts[hit], anchor[hit]
+            if not len(own):
                 continue
-            wanted = piece.column(3)
-            again = np.isin(keys, np.unique(wanted.flatten().to_numpy(zero_copy_only=False)).view(np.uint64))
-            own = starts[again[anchor]]
-            doc = np.searchsorted(words.first, own, side="right") - 1
-            one, two = rolling(words.hash, width)[own], rolling(mix(words.hash + _K), width)[own]
-            take = pa.array(doc)
-            for k in range(0, len(own), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[part].view(np.int64)), pa.array(two[part].view(np.int64)), piece.column(0).take(take[part]), piece.column(1).take(take[part]), pa.array((own[part] - words.first[doc[part]]).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "row", "start"],
-                )
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = (np.diff(own) != 1) | (np.diff(its) != 0)
+            first = np.flatnonzero(new)
+            doc = np.searchsorted(words.first, own[first], side="right") - 1
+            upto = np.append(first, len(own)).astype(np.int32)
+            prints = rolling(words.hash, width)[own].view(np.int64)
+            ids = piece.column(0).to_numpy()[doc]
+            salt = (mix(ids.view(np.uint64)) % salts[near[its[first]]].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[its[first]].view(np.int64)), pa.array(salt), pa.array(salts[near[its[first]]] > 1), pa.array(ids), piece.column(1).take(pa.array(doc)), pa.array((own[first] - words.first[doc]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(upto), pa.array(prints))],
+                names=["key", "salt", "hot", "doc_id", "row", "base", "ws"],
+            )
 
     return run
 
@@ -207,16 +227,33 @@ def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     hash; rows equal in both are one document and get one answer each. Kept words are joined by a
     space. Null doc_ids come first; an empty table gives no rows.
     """
-    own = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    found = materialize(own.mapInArrow(_keys(width), "doc_id long, row long, keys array<long>"), "anchors")
+    ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
+    repeated = bool(ids.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    # a hash of the text tells rows of one doc_id apart, where there are any
+    own = ids.select("doc_id", F.xxhash64("text").alias("row") if repeated else F.lit(0).cast("long").alias("row"), "text")
+    # a clash of shortened keys only makes windows candidates; there is at most an anchor a word of two bytes
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = min(63, 16 + int(size // 16).bit_length())
+    found = materialize(own.mapInArrow(_keys(width, bits), "doc_id long, row long, keys array<long>"), "anchors")
     rows = found.select("doc_id", "row", F.explode("keys").alias("key"))
-    again = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    wanted = rows.join(again, "key").groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
-    one = own.dropDuplicates(["doc_id", "row"]) if own.groupBy("doc_id").count().filter("count > 1").limit(1).count() else own
-    windows = materialize(one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "keys").mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, row long, start int"), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first")
-    later = windows.join(first, ["w1", "w2"]).filter(F.struct("doc_id", "row", "start") > F.col("first"))
+    again = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    # written, so that the join has two plain exchanges and a frequent key's can be split
+    again = materialize(again, "again")
+    wanted = rows.join(again, "key").groupBy("doc_id", "row").agg(F.collect_set(F.struct("key", "salts")).alias("wanted"))
+    wanted = materialize(wanted, "wanted")
+    one = own.dropDuplicates(["doc_id", "row"]) if repeated else own
+    # this join and the last one read the same exchange of the texts
+    runs = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_windows(width, bits), "key long, salt int, hot boolean, doc_id long, row long, base int, ws array<long>")
+    # equal windows have equal anchors, so they meet where their anchor's occurrences do; an anchor with
+    # very many is dealt into salts, and what is first in its salt is compared once more
+    dealt = runs.repartition("key", "salt")
+    each = dealt.select("key", "salt", "hot", "doc_id", "row", F.posexplode("ws").alias("i", "w"), "base").select("key", "salt", "hot", "doc_id", "row", "w", (F.col("base") + F.col("i")).alias("start"))
+    order = ["doc_id", "row", "start"]
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("key", "salt", "w").orderBy(*order)))
+    first = each.filter("nth = 1 and hot")
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("key", "w").orderBy(*order)))
+    later = each.filter("nth > 1").select(*order).unionByName(first.filter("nth > 1").select(*order))
     starts = later.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"))
-    left = own.join(materialize(starts, "starts"), ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    left = own.join(starts, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
     out = left.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
