@@ -92,7 +92,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     taken = mix(docs, weights, most).filter("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__crc").alias("__c")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
     taken = materialize(taken, "taken")
     crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__d")) & docs["source"].eqNullSafe(F.col("__s")) & (crc == F.col("__c")))
+    # a row a document: as large a side as the texts' ids, so it is never a side to broadcast
+    out = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__d")) & docs["source"].eqNullSafe(F.col("__s")) & (crc == F.col("__c")))
     # only rows of a group that has repeated ones need to meet
     once = out.filter("__rows = 1").unionByName(out.filter("__rows > 1").dropDuplicates(["__d", "__s", "__c"]))
     repeated = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
