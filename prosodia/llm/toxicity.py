@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import Words, ascii_letters_apart, pieces
+from prosodia.llm.shared import Words, ascii_letters_apart, pieces, sample_rows
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     Labels that are null are no labels; of several labels of one document the worst counts.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = sample_rows(known, SAMPLE, by="doc_id")
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("__toxic").alias("toxic"), "text")
     rows = own.mapInArrow(_word_counts, "toxic int, words array<long>, counts array<int>").toArrow()
     none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(GRADES, 40.0))
