@@ -2,9 +2,11 @@
 
 A document's set is its distinct word n-grams as 64-bit fingerprints in one global order: by a
 frequency class from counts over the whole corpus, then by fingerprint. Two sets that link share a
-token among the first ``n - ceil(t * n) + 1`` of each. For each shared prefix token the least set
+token among the first ``n - ceil(t * n) + 1`` of each, and several if both show some more; a set that
+shows too few tokens which others show too drops out. For each shared prefix token the least set
 that has it is its hub; block h holds all sets that share with h a token whose hub is h, so every
-pair that can link meets in a block and each set is sent once to each of its few hubs.
+pair that can link meets in a block and each set is sent once to each of its few hubs, first as a
+bitmap of about a bit a token: sets whose bitmaps rule out every other set of the block go no further.
 
 Inside a block each component found so far is a trie of ordered sets. A new set descends a trie,
 sharing partial overlaps along common paths and leaving a subtree as soon as the tokens left could
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from prosodia.llm.components import components
 from prosodia.llm.shared import Words, materialize, mix, pieces, powers, sum_arrays
 
-#: Buckets of the frequency table (as 32-bit counts, 4 MB whatever the corpus), and rows it travels in.
-TABLE_BITS, CHUNKS = 20, 64
+#: Buckets of the frequency table (as 32-bit counts, 1 MB whatever the corpus), and rows it travels in.
+TABLE_BITS, CHUNKS = 18, 16
 #: Sets and tokens that a part of a block holds, about.
 PART_SETS, PART_TOKENS = 4_096, 4_000_000
+#: Sets that may link up to which their list is broadcast to the texts; beyond it the texts are shuffled.
+BROADCAST_SETS = 100_000
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +106,25 @@ def _classes(survey: DataFrame) -> np.ndarray:
 
     It only orders tokens; any table gives the same links.
     """
-    rows = sum_arrays(survey.filter("chunk is not null").select("chunk", "counts"), "<u4")  # 8 MB by construction
+    rows = sum_arrays(survey.filter("chunk is not null").select("chunk", "counts"), "<u4")  # 2 MB by construction
     counts = np.concatenate([rows[k] for k in range(CHUNKS)]).astype(np.float64)
     return np.minimum(np.log2(np.maximum(1.0, counts / max(1.0, 2 * counts.mean()))).astype(np.uint8) + (counts > max(1.0, 2 * counts.mean())), 62).astype(np.uint8)
 
 
-def _prefixes(n: int, percent: int, table):
+def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first tokens a set of each size shows, and how many of them its partner must show too.
+
+    Two linked sets share one token among the first s - ceil(t * s) + 1 of each, and l of them if both show
+    l - 1 more. Sets show a quarter more; a partner may be smaller by the threshold and so owe fewer.
+    """
+    short = lambda s: np.where(s > 0, s - -(-percent * s // 100) + 1, 0)
+    owed = lambda s: np.maximum(1, short(s) // 4)
+    return np.where(size > 0, np.minimum(size, short(size) + owed(size) - 1), 0), owed(-(-percent * size // 100))
+
+
+def _prefixes(n: int, percent: int, table, bits: int):
+    """mapInArrow: a row a document that has words, with its prefix tokens (``bits`` of each) and bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             grams, doc = shingles(piece.column(1), n)
@@ -115,12 +132,13 @@ def _prefixes(n: int, percent: int, table):
             names = set_ids(plain, at)
             keys, first = ordered_sets(grams, doc, piece.num_rows, table.value)
             size = np.diff(first)
-            length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+            length, need = prefix_lengths(size, percent)
             upto = np.concatenate([[0], np.cumsum(length)])
             flat = keys[np.repeat(first[:-1] - upto[:-1], length) + np.arange(upto[-1])]
-            # 48 bits part tokens well enough here: a clash only makes two sets candidates
-            tokens = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array((mix(flat) >> np.uint64(16)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(size), tokens], names=["set_id", "n", "tokens"]).filter(pa.array(size > 0))
+            # a clash of shortened tokens only makes two sets candidates
+            tokens = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array((mix(flat) >> np.uint64(64 - bits)).astype(np.int64)))
+            maps = pa.array([bitmap(keys[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(names), pa.array(size), pa.array(need), tokens, maps], names=["doc_id", "set_id", "n", "need", "tokens", "map"]).filter(pa.array(size > 0))
 
     return run
 
@@ -144,6 +162,84 @@ def _sets(n: int, table):
     return run
 
 
+def bitmap(keys: np.ndarray) -> bytes:
+    """Parities of a set's tokens in about as many bits as it has tokens.
+
+    Two maps differ in no more bits than their sets differ in tokens, so maps that differ more than the
+    threshold allows rule a link out. A map folds to half its width by exclusive or.
+    """
+    width = 1 << min(16, max(6, int(len(keys) - 1).bit_length()))
+    return np.packbits((np.bincount((keys & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def alive(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a cell have another that size and map do not rule out (of another side, if there are two)."""
+    cross = len(set(sides.tolist())) > 1
+    live = np.zeros(len(sizes), dtype=bool)
+    order = np.argsort(sizes, kind="stable")
+    sizes, sides = sizes[order], sides[order]
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    widths = np.array([len(maps[i]) for i in order])
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        by_width[w] = at, np.frombuffer(b"".join(maps[order[i]] for i in at), dtype=np.uint64).reshape(len(at), -1)
+    for w, (at, own) in by_width.items():
+        for k, i in enumerate(at.tolist()):
+            if live[i]:
+                continue
+            for v, (other, theirs) in by_width.items():
+                a, b = np.searchsorted(sizes[other], [-(-percent * sizes[i] // 100), 100 * sizes[i] // percent + 1])
+                if a >= b or max(v, w) > 2 * min(v, w):
+                    continue
+                mine, those = own[k], theirs[a:b]
+                if v > w:
+                    half = those.shape[1] // 2
+                    those = those[:, :half] ^ those[:, half:]
+                elif v < w:
+                    half = len(mine) // 2
+                    mine = mine[:half] ^ mine[half:]
+                apart = np.bitwise_count(those ^ mine).sum(axis=1, dtype=np.int64)
+                near = other[a:b][(100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[other[a:b]])]
+                near = near[(near != i) & ((sides[near] != sides[i]) | (not cross))]
+                if len(near):
+                    live[i] = live[near] = True
+    out = np.empty_like(live)
+    out[order] = live
+    return out
+
+
+def _live_cells(percent: int):
+    """mapInArrow over (cell, side, set_id, n, map) sorted by cell: the sets of each cell that may link there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                live = alive(np.array([h[3] for h in held]), [h[4] for h in held], np.array([h[1] for h in held]), percent)
+                out.extend((h[0], h[1], h[2]) for h, x in zip(held, live.tolist(), strict=True) if x)
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "side", "set_id"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and row[0] != held[0][0]:
+                    close()
+                    held = []
+                held.append(row)
+            if out:
+                yield emit()
+        close()
+        if out:
+            yield emit()
+
+    return run
+
+
 class _Node:
     __slots__ = ("seg", "children", "ends", "rest", "least")
 
@@ -254,6 +350,22 @@ def _link_cells(percent: int):
     return run
 
 
+def without_contained(live: DataFrame) -> DataFrame:
+    """Rows (cell, side, set_id) without the cells whose sets are all in one larger cell, where they meet as well.
+
+    A cell is held against the largest cell of its least set, by (sets, cell); as that order has no
+    cycle, what is dropped is in a cell that stays. Parts of large blocks all stay.
+    """
+    whole = live.groupBy("cell").agg(F.count("*").alias("size"), F.max("side").alias("sides"), F.min("set_id").alias("first")).filter("sides = 0")
+    whole = materialize(whole.select("cell", "size", "first"), "cells")
+    largest = live.join(whole, "cell").groupBy("set_id").agg(F.max(F.struct("size", "cell")).alias("most"))
+    under = whole.join(largest, F.col("first") == F.col("set_id")).filter(F.col("most") > F.struct("size", "cell")).select("cell", "size", F.col("most.cell").alias("__in"))
+    there = live.select(F.col("cell").alias("__in"), F.col("set_id").alias("__set"))
+    both = live.join(under, "cell").withColumnRenamed("set_id", "__set").join(there, ["__in", "__set"])
+    inside = both.groupBy("cell", "size").agg(F.count("*").alias("n")).filter("n = size").select("cell")
+    return live.join(inside, "cell", "left_anti")
+
+
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id for every row of ``docs`` (doc_id, text).
 
@@ -271,25 +383,42 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFram
         return members.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.col("doc_id").alias("component_id"))
     table = spark.sparkContext.broadcast(_classes(survey))
 
-    prefixes = materialize(own.mapInArrow(_prefixes(n, percent, table), "set_id long, n long, tokens array<long>"), "prefixes")
-    rows = prefixes.select(F.explode("tokens").alias("t"), "set_id", "n")
-    shared = rows.groupBy("t").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).filter("hub <> last").select("t", "hub")
-    blocks = materialize(rows.join(shared, "t").groupBy("set_id", "hub").agg(F.max("n").alias("n")), "blocks")
+    total = members.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"), F.sum("n").alias("n")).first()
+    bits = min(63, 15 + max(1, int(total.n)).bit_length())
+    schema = "doc_id long, set_id long, n long, need long, tokens array<long>, map binary"
+    prefixes = materialize(own.mapInArrow(_prefixes(n, percent, table, bits), schema), "prefixes")
+    # rows are named by doc_id, which packs better than a hash, unless ids repeat or are missing
+    name = "doc_id" if total.rows == total.ids else "set_id"
+    rows = prefixes.select(F.explode("tokens").alias("t"), F.col(name).alias("name"))
+    shared = rows.groupBy("t").agg(F.min("name").alias("hub"), F.max("name").alias("last")).filter("hub <> last").select("t", "hub")
+    seen = rows.join(shared, "t").groupBy("name").agg(F.count("*").alias("seen"), F.collect_set("hub").alias("hubs"))
+    maps = prefixes.select(F.col(name).alias("name"), "set_id", "n", "need", "map")
+    maps = maps if name == "doc_id" else maps.dropDuplicates(["name"])
+    # a set that shows too few tokens which others show too has no partner
+    blocks = seen.join(maps, "name").filter("seen >= need").select("set_id", "n", "map", F.explode("hubs").alias("hub"))
+    blocks = blocks.groupBy("set_id", "hub").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    blocks = materialize(blocks, "blocks")
     large = blocks.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum("n") / PART_TOKENS)).cast("int").alias("parts")).filter("parts > 1")
     # cell of a block: its hub, or one of the pairs of parts of a large block
     placed = blocks.join(large, "hub", "left").withColumn("part", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    pairs = F.expr("transform(sequence(0, coalesce(parts, 1) - 1), j -> struct(xxhash64(hub, least(part, j), greatest(part, j)) as cell, if(part = j, 0, if(part < j, 1, 2)) as side))")
-    cells = placed.select("set_id", F.explode(pairs).alias("c")).groupBy("set_id").agg(F.collect_list("c").alias("cells"))
-    one = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    parts = F.expr("transform(sequence(0, coalesce(parts, 1) - 1), j -> struct(xxhash64(hub, least(part, j), greatest(part, j)) as cell, if(part = j, 0, if(part < j, 1, 2)) as side))")
+    celled = placed.select("set_id", "n", "map", F.explode(parts).alias("c")).select("c.cell", "c.side", "set_id", "n", "map")
+    live = celled.repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_live_cells(percent), "cell long, side int, set_id long")
+    live = without_contained(materialize(live, "live"))
+    cells = live.groupBy("set_id").agg(F.collect_list(F.struct("cell", "side")).alias("cells"))
+    one = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("__doc"))
     wanted = materialize(one.join(cells, "set_id"), "wanted")
-    # one text of each set that has a candidate
-    texts = own.join(wanted.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc")).select("text", "set_id", "cells")
+    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
+    # one text of each set that may link
+    texts = own.join(wanted, F.col("doc_id") == F.col("__doc")).select("text", "set_id", "cells")
     sets = texts.mapInArrow(_sets(n, table), "cell long, side int, set_id long, keys binary")
     links = sets.repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_link_cells(percent), "a long, b long")
     roots = components(links)
 
     joined = materialize(members.join(roots, F.col("set_id") == F.col("node"), "left").select("doc_id", "n", "set_id", F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root")), "roots")
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below has two plain exchanges and a large component's can be split
+    least = materialize(joined.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = joined.join(least.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
