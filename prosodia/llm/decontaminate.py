@@ -2,9 +2,8 @@
 
 Everything is DataFrame expressions. A document's word n-grams meet those of the benchmark in one
 join; a document can match an item only if at least ``percent`` of the item's n-grams occur in it, so
-others drop out before any window is looked at. The windows of the item's size at which shared
-n-grams line up, and those between such starts, get a 64-bit SimHash weighted by how often each
-n-gram occurs. Fingerprints are cut in ``radius + 1`` blocks: two that differ in at most ``radius`` bits
+others drop out before any window is looked at. Every window of the item's size that holds as many
+shared n-grams as a match needs gets a 64-bit SimHash weighted by how often each n-gram occurs. Fingerprints are cut in ``radius + 1`` blocks: two that differ in at most ``radius`` bits
 agree in one block, so an equality join by (size, block, bits) finds all of them. Candidates within the
 radius are then verified by the exact weighted Jaccard similarity of window and item.
 """
@@ -13,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosodia.llm.shared import lower_ascii, materialize, words_column
@@ -53,12 +52,28 @@ def shared_count(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(b), F.lit(0), lambda s, g: s + F.least(times(a, g), times(b, g)))
 
 
+def starts(n: int, percent: int) -> Column:
+    """Every start of ``words`` words whose window holds enough of the sorted ``places`` to match.
+
+    A window and an item of m n-grams each match only if 100 * shared >= percent * (2 * m - shared),
+    and no more can be shared than there are places in the window. The window that ends at the
+    latest with places i to i + least - 1 begins at most at place i; starts up to place i - 1 belong
+    to earlier i. A shorter document has one window.
+    """
+    m = f"(words - {n - 1})"
+    least = f"((2 * {percent} * {m} + {99 + percent}) div {100 + percent})"
+    low = f"greatest(get(places, cast(i + {least} - 1 as int)) - {m} + 1, if(i > 0, get(places, i - 1) + 1, 0))"
+    run = f"if({low} <= get(places, i), sequence(cast({low} as int), get(places, i)), cast(array() as array<int>))"
+    runs = f"flatten(transform(sequence(0, cast(size(places) - {least} as int)), i -> {run}))"
+    return F.expr(f"case when size < words then array(0) when size(places) >= {least} then {runs} else cast(array() as array<int>) end")
+
+
 def _hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(doc_id, row, item_id, words, needed, p, q): n-grams at p of a document and at q of an item."""
-    index = items.select("item_id", "words", "needed", F.posexplode("grams").alias("q", "gram"))
+    """(doc_id, row, size, item_id, words, needed, p): n-grams at p of a document of ``size`` words that an item holds."""
+    index = items.select("item_id", "words", "needed", F.explode(F.array_distinct("grams")).alias("gram"))
     if index.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
         index = F.broadcast(index)
-    own = docs.select("doc_id", "row", F.posexplode(grams(F.col("h"), n)).alias("p", "gram"))
+    own = docs.select("doc_id", "row", F.size("h").alias("size"), F.posexplode(grams(F.col("h"), n)).alias("p", "gram"))
     return own.join(index, "gram").drop("gram")
 
 
@@ -78,11 +93,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80
     hashed = texts.select("doc_id", "row", word_hashes(F.col("text")).alias("h"))
 
     hits = _hits(hashed, items.filter(F.col("words") >= n), n)
-    lined = hits.groupBy("doc_id", "row", "item_id", "words", "needed").agg(F.countDistinct("p").alias("places"), F.collect_set(F.col("p") - F.col("q")).alias("starts")).filter("places >= needed")
-    # starts at which n-grams line up, and those between two of them that a few inserted words set apart
-    one = lined.select("doc_id", "row", "item_id", "words", F.explode("starts").alias("s"))
-    after = F.lead("s").over(Window.partitionBy("doc_id", "row", "item_id").orderBy("s"))
-    filled = one.withColumn("next", after).select("doc_id", "row", "words", F.explode(F.expr("sequence(s, if(next - s <= words div 5, next - 1, s))")).alias("s"))
+    lined = hits.groupBy("doc_id", "row", "item_id", "words", "needed", "size").agg(F.array_sort(F.collect_set("p")).alias("places")).filter("size(places) >= needed")
+    filled = lined.select("doc_id", "row", "words", F.explode(starts(n, percent)).alias("s"))
     wanted = materialize(filled.groupBy("doc_id", "row").agg(F.collect_set(F.struct("words", "s")).alias("windows")), "windows")
     if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
         wanted = F.broadcast(wanted)

@@ -236,6 +236,39 @@ def test_decontamination(spark, docs, bench, monkeypatch):
     assert decontaminate.matches(everything.limit(0), bench).collect() == [] and decontaminate.matches(everything, bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_reordered_items(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(prose(rng, size, 9000))) for i, size in enumerate([60, 80, 57, 40, 60])]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for k, cut in enumerate((len(w) // 2, len(w) // 3, len(w) - 9)):
+            moved = w[cut:] + w[:cut]
+            for j, (before, after) in enumerate(((100, 100), (0, 7), (3, 0), (0, 0))):
+                rows.append((100 * i + 10 * k + j, " ".join(prose(rng, before, 9000) + moved + prose(rng, after, 9000))))
+        rows.append((100 * i + 90, " ".join(w[: len(w) // 2] + prose(rng, 40, 9000) + w[len(w) // 2 :])))  # its parts are apart
+        rows.append((100 * i + 91, " ".join(prose(rng, 4, 9000) + w[2:-3])))
+        rows.append((100 * i + 92, " ".join(w[: len(w) * 9 // 10])))
+    want = plain_matches(rows, items, 5, 80)
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(str(r.doc_id), r.item_id): r.similarity for r in found.collect()}
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_starts_are_all_that_can_match(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        words, size = rng.randint(5, 30), rng.randint(5, 120)
+        share = rng.choice([0.5, 0.9, 1.0])
+        rows.append((i, words, size, [p for p in range(size - 4) if rng.random() < share]))
+    df = spark.createDataFrame([r for r in rows if r[3]], "i int, words int, size int, places array<int>")
+    for r in df.select("*", decontaminate.starts(5, 80).alias("s")).collect():
+        m = r.words - 4
+        want = [0] if r.size < r.words else [s for s in range(r.size) if 180 * sum(s <= p < s + m for p in r.places) >= 160 * m]
+        assert r.s == want
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     rng = random.Random(1)
     a = rng.getrandbits(63)
