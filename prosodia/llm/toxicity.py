@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
 Labels say only whether a document is toxic. Words that toxic documents hold far more often than
-others (by a two-proportion z score) are the features; how much of them a toxic document holds,
+others are the features: by the ratio of the shares, which does not depend on the number of labels,
+or, for rarer words, by a two-proportion z score; how much of them a toxic document holds,
 cut at its tertiles, grades it 1 to 3, and all other documents are grade 0. One weight vector is
 shared by the ordered thresholds: P(grade >= k) = sigmoid(w.x - theta_k), x = log2(1 + count). The
 expected severity is the sum of these over k.
@@ -25,6 +26,9 @@ from prosodia.llm.shared import Words, ascii_letters_apart, pieces, sample_rows
 SAMPLE = 12_000
 #: Words that become features, at most, and what they must reach.
 FEATURES, LEAST_Z, LEAST_TOXIC = 512, 8.0, 8
+#: Or, whatever the number of labels: so many times the share of clean documents, both shares raised by
+#: RAISE so that chance words of few documents fall short, and so many toxic documents.
+TIMES, RAISE, FEW_TOXIC = 10.0, 0.01, 3
 GRADES = 3
 _APART = ascii_letters_apart()
 
@@ -119,7 +123,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     c0 = np.bincount(which, minlength=len(names)) - c1
     pooled = (c1 + c0) / (n1 + n0)
     z = (c1 / n1 - c0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    good = np.flatnonzero((z >= LEAST_Z) & (c1 >= min(LEAST_TOXIC, max(2, n1 // 4))))
+    sure = (z >= LEAST_Z) & (c1 >= min(LEAST_TOXIC, max(2, n1 // 4)))
+    often = (c1 / n1 + RAISE >= TIMES * (c0 / n0 + RAISE)) & (c1 >= FEW_TOXIC)
+    good = np.flatnonzero(sure | often)
     good = np.sort(good[np.argsort(-z[good], kind="stable")][:FEATURES])
     if not len(good):
         return none

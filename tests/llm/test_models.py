@@ -83,6 +83,27 @@ def test_toxicity(spark, talk, labels):
     assert toxicity.severity(talk.filter("doc_id = -5"), model).collect() == []
 
 
+@pytest.mark.parametrize("times", [1, 5, 20])
+def test_toxicity_does_not_depend_on_the_number_of_labels(spark, times):
+    rng = random.Random(15)
+    insults = ["vilex", "grobo", "schmi", "narbu"]
+    rows, labels = [], []
+    for i in range(130 * times):
+        words = [f"w{rng.randrange(4000)}" for _ in range(60)]
+        toxic = i % 8 == 0
+        if toxic:
+            for w in rng.sample(insults, 2) * 2:
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        if i % 130 < 87:  # 11 toxic ones of 87 in the smallest table
+            labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.severity(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    caught = [r.toxic for r in out if r.doc_id % 8 == 0]
+    left = [not r.toxic for r in out if r.doc_id % 8]
+    assert np.mean(caught) >= 0.95 and np.mean(left) >= 0.98
+
+
 def test_ordinal_fit_and_scores():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 4, size=(3000, 2)).astype(float)
