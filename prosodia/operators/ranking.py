@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,38 @@ def top_per(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
+def cosine_neighbours(df: DataFrame, n: int, block: int = 2048) -> DataFrame:
+    """a, b, cosine: for every row of (vec_id, v) the n others nearest by cosine; of equal ones the least id.
+
+    Every row meets every other: rows are dealt into blocks of about ``block`` by a hash, and each pair
+    of blocks is one product of matrices, of which the n best per row go on. Vectors have one length;
+    rows without an id or a vector are left out. Cosines are equal if they are so at 12 decimals.
+    """
+    known = df.filter("vec_id is not null and v is not null").select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    blocks = -(-known.count() // block) or 1
+    own = known.withColumn("i", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.select(F.col("i"), every.alias("j"), "vec_id", "v")
+    right = own.select(every.alias("i"), F.col("i").alias("j"), "vec_id", "v")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"a": [], "b": [], "cosine": []}
+        if len(a) and len(b):
+            b = b.sort_values("vec_id", kind="stable")
+            x, y, ids = np.stack(a["v"].to_list()), np.stack(b["v"].to_list()), b["vec_id"].to_numpy()
+            all_ = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :] + 1e-8), 12)
+            for q, row in zip(a["vec_id"].to_list(), all_, strict=True):
+                others = np.flatnonzero(ids != q)
+                top_n = others[np.argsort(-row[others], kind="stable")[:n]]
+                out["a"] += [q] * len(top_n)
+                out["b"] += ids[top_n].tolist()
+                out["cosine"] += row[top_n].tolist()
+        return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "a long, b long, cosine double")
+    return top_per(found, ["a"], n, F.desc("cosine"), F.col("b"))
+
+
 def first_best(df: DataFrame, by: list[str], keys: list[Column], index: str = "grid_idx") -> DataFrame:
     """Per group the row with the greatest keys; of equal rows the least grid index."""
     return df.groupBy(*by).agg(F.max(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], (-F.col(index)).alias("neg"))).alias("b")).select(*by, (-F.col("b.neg")).alias(index), *[F.col(f"b.k{i}") for i in range(len(keys))])
