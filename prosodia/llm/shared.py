@@ -155,6 +155,13 @@ class Words:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * up[:n], out=sums[1:], dtype=np.uint64)
         self.hash = mix((sums[self.end] - sums[self.begin]) * down[self.begin])
+        self._sums, self._down = sums, down
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of n bytes or more, by number, and fingerprints of their first n bytes."""
+        at = np.flatnonzero(self.end - self.begin >= n)
+        b = self.begin[at]
+        return at, mix((self._sums[b + n] - self._sums[b]) * self._down[b] + np.uint64(n))
 
 
 def ascii_letters_apart() -> np.ndarray:
@@ -208,12 +215,30 @@ def sum_arrays(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
     return {r.chunk: np.frombuffer(r.counts, dtype=wide) for r in once.groupBy("chunk").applyInArrow(add, schema).collect()}
 
 
-def sample_rows(df: DataFrame, n: int, by: str) -> DataFrame:
-    """At most ``n`` rows, those with the least hash of ``by``; all rows if there are no more.
+def sample_rows(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """At most ``n`` rows, those with the least hash of ``by`` (of all columns by default); all rows if there are no more.
 
-    The hash's bound follows from the number of rows, so no task gathers candidates of others.
+    The bound is read off a table of counts by the first 16 bits of the hash, so no task gathers
+    candidates of others and any run gives the same rows. Rows of equal hash stay or go together; only if all
+    share one hash, so that none would be left, are ``n`` of these equal rows taken.
     """
-    total = df.count()
-    if total <= n:
+    hashed = df.withColumn("__h", F.pmod(F.xxhash64(*([by] if by else df.columns)), F.lit(1 << 32)))
+    # 65,536 rows at most
+    counts = sorted((r["b"], r["count"]) for r in hashed.groupBy(F.shiftright("__h", 16).alias("b")).count().collect())
+    upto = np.cumsum([c for _, c in counts])
+    if not len(upto) or upto[-1] <= n:
         return df
-    return df.filter(F.pmod(F.xxhash64(by), F.lit(1 << 32)) < int(0.97 * n / total * (1 << 32))).limit(n)
+    whole = int(np.searchsorted(upto, n, side="right"))
+    bound = counts[whole][0] << 16
+    room = n - (int(upto[whole - 1]) if whole else 0)
+    # the bucket that the bound cuts is looked at by whole hashes
+    inside = sorted((r["__h"], r["count"]) for r in hashed.filter(F.shiftright("__h", 16) == counts[whole][0]).groupBy("__h").count().orderBy("__h").limit(n).collect())
+    for h, c in inside:
+        if c > room:
+            bound = h
+            break
+        room -= c
+    some = hashed.filter(F.col("__h") < bound)
+    if not whole and bound == inside[0][0]:
+        some = hashed.filter(F.col("__h") == bound).limit(n)
+    return some.drop("__h")
