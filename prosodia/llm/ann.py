@@ -7,7 +7,8 @@ are reranked with the exact measure in double precision.
 
 Every vector is indexed. Exact copies are one entry with the smallest ids of the group, so a vector
 that a third of all rows share costs no more than another. Cells are packed into bins (large cells cut
-into several) and queries dealt into blocks, so a task holds one bin and one block at a time.
+into several). The index is dealt to its bins once, and each query to the bins of the cells it visits; within
+a bin the index comes first and queries stream past it, so a task holds one bin and one batch of queries.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import materialize, sample_rows
+from prosodia.llm.shared import materialize, sample_rows, shuffle_width
 
 #: Vectors that the codebooks are fitted on, and of them those that give each query a floor, at most.
 SAMPLE, FLOORS = 20_000, 8_192
-#: Vectors in a bin and queries in a block, about.
-BIN, BLOCK = 2_048, 4_096
+#: Centroids a half at most, and vectors a centroid below that.
+CENTROIDS, PER_CENTROID = 256, 4
+#: Share of the distinct vectors whose cells a query visits. Vectors without structure need so many for a
+#: recall of 0.9; clustered ones a tenth.
+SHARE = 0.36
+#: Vectors in a bin, about.
+BIN = 2_048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,21 +61,30 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 20, seed: int = 7) -> np.nd
     return centres
 
 
-def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -> list[int]:
-    """Cells (i * K + j) by falling first[i] + second[j] until they hold ``enough`` vectors."""
-    a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, cells, got = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, [], 0
-    while heap and got < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
-        if held[cell]:
-            cells.append(cell)
-            got += int(held[cell])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(first[a[x]] + second[b[y]]), x, y))
-    return cells
+def walk(first: np.ndarray, second: np.ndarray, cells: np.ndarray, held: np.ndarray, enough: int) -> float:
+    """The sum first[i] + second[j] down to which cells hold ``enough`` vectors, or minus infinity.
+
+    ``cells`` are the occupied ones (i * K + j, ascending), ``held`` their vectors. Those of one i in falling order of
+    second[j] are a row; a heap over the rows' heads gives all pairs by falling sum.
+    """
+    i, j = cells // len(second), cells % len(second)
+    order = np.lexsort((-second[j], i))
+    sums, held = (first[i] + second[j])[order].tolist(), held[order].tolist()
+    begin = np.flatnonzero(np.append(True, np.diff(i) != 0))
+    ends = np.append(begin[1:], len(i)).tolist()
+    heap = [(-sums[at], at, end) for at, end in zip(begin.tolist(), ends, strict=True)]
+    heapq.heapify(heap)
+    got = 0
+    while heap:
+        s, at, end = heap[0]
+        got += held[at]
+        if got >= enough:
+            return -s
+        if at + 1 < end:
+            heapq.heapreplace(heap, (-sums[at + 1], at + 1, end))
+        else:
+            heapq.heappop(heap)
+    return -math.inf
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -77,33 +92,72 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _best(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
-    """One block of queries against one bin of the index: the k best entries of each query."""
-    out: dict[str, list] = {"query_id": [], "score": [], "ids": []}
-    if queries.num_rows and index.num_rows:
-        q, v = _matrix(queries["v"]), _matrix(index["v"])
-        cell, uid, ids = index["cell"].to_numpy(), index["uid"].to_numpy(), index["ids"].to_pylist()
-        rough = q.astype(np.float32) @ v.astype(np.float32).T
-        for r, (qid, cells, floor) in enumerate(zip(queries["vec_id"].to_pylist(), queries["cells"].to_pylist(), queries["floor"].to_pylist(), strict=True)):
-            own = np.flatnonzero(np.isin(cell, cells) & (rough[r] >= floor))
-            if len(own) > 3 * k:
-                own = own[np.argpartition(-rough[r, own], 3 * k)[: 3 * k]]
-            exact = (v[own] * q[r]).sum(axis=1)
-            for i in np.lexsort((uid[own], -exact))[:k]:
-                out["query_id"].append(qid)
-                out["score"].append(float(exact[i]))
-                out["ids"].append(ids[own[i]])
-    return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
-
-
-def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.5, least: int = 4_000, centroids: int | None = None) -> DataFrame:
+def _scores(q: np.ndarray, left: np.ndarray, right: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    return q[:, :cut] @ left.T, q[:, cut:] @ right.T
+
+
+def _best(q: np.ndarray, qids: list[int], least: np.ndarray, floors: np.ndarray, index: tuple, books: tuple, cut: int, k: int, out: dict[str, list]) -> None:
+    """Queries against one bin of the index: each one's best entries in cells it visits until they hold k ids."""
+    v, cell, uid, ids = index
+    left, right = books
+    s1, s2 = _scores(q, left, right, cut)
+    # sums and single precision are off by no more
+    slack = 1e-7 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+    rough = q.astype(np.float32) @ v.astype(np.float32).T
+    fine = (s1[:, cell // len(right)] + s2[:, cell % len(right)] >= (least - 1e-9)[:, None]) & (rough >= (floors - slack)[:, None])
+    for r in np.flatnonzero(fine.any(axis=1)).tolist():
+        own = np.flatnonzero(fine[r])
+        if len(own) > 3 * k:
+            own = own[rough[r, own] >= np.partition(rough[r, own], -3 * k)[-3 * k] - slack[r]]
+        exact = (v[own] * q[r]).sum(axis=1)
+        held: set[int] = set()
+        for i in np.lexsort((uid[own], -exact)):
+            out["query_id"].append(qids[r])
+            out["score"].append(float(exact[i]))
+            out["ids"].append(ids[own[i]])
+            held.update(ids[own[i]])
+            if len(held) >= k:
+                break
+
+
+def _rerank(shared, cut: int, k: int):
+    """mapInArrow over rows sorted by (bin, kind): a bin's index (kind 0), then the queries that visit it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, index = None, [], None
+        for b in batches:
+            bins, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(bins) != 0) | (np.diff(kinds) != 0)) + 1
+            out: dict[str, list] = {"query_id": [], "score": [], "ids": []}
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if start == stop:
+                    continue
+                part = b.slice(start, stop - start)
+                if bins[start] != now:
+                    now, parts, index = bins[start], [], None
+                if kinds[start] == 0:
+                    parts.append(part)
+                    continue
+                if parts:
+                    t = pa.Table.from_batches(parts)
+                    index, parts = (_matrix(t["v"]), t["cell"].to_numpy(), t["id"].to_numpy(), t["ids"].to_pylist()), []
+                for at in range(0, part.num_rows if index is not None else 0, 512):
+                    some = part.slice(at, 512)
+                    _best(_matrix(some.column(3)), some.column(2).to_pylist(), some.column(5).to_numpy(), some.column(6).to_numpy(), index, shared.value, cut, k, out)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHARE, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose vec_id is divisible by ``every``.
 
-    A sampled vector of a visited cell is a candidate itself, so the (k + 1)th best of those bounds what can be among
-    the k best; worse candidates don't leave their task. A query looks at the cells of at least ``max(least, share * distinct vectors)`` vectors; measured
-    recall is in the README. Vectors that are null, zero, of another length than the most common one or
-    with null or non-finite components take no part. Ties go to the smaller vec_id; rows that repeat a
-    vec_id with equal vectors are one candidate. An empty table gives no rows.
+    A query visits cells until they hold ``share`` of the distinct vectors and 2 * k + 2 at least; measured recall is in the
+    README. A sampled vector of a visited cell is a candidate itself, so the (k + 1)th best of those
+    bounds what can be among the k best; worse candidates don't leave their task. Vectors that are null,
+    zero, of another length than the most common one or with null or non-finite components take no
+    part. Ties go to the smaller vec_id. Rows that repeat a vec_id are one candidate, and as queries one
+    query, with the best score of any of their vectors. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -115,8 +169,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.5,
     unique = materialize(distinct_vectors(good, k + 1), "vectors")
     n = unique.count()
     cut = length.d // 2 or 1
-    sample = np.array([r.v for r in sample_rows(unique, SAMPLE, by="uid").select("v").collect()], dtype=np.float32)
-    many = centroids or min(256, max(32, math.ceil(math.sqrt(n / 50))))
+    # at most SAMPLE rows
+    sample = np.array([r.v for r in sample_rows(unique.select("uid", "v"), SAMPLE).orderBy("uid", "v").select("v").collect()], dtype=np.float32)
+    many = centroids or min(CENTROIDS, max(16, n // PER_CENTROID))
     books = spark.sparkContext.broadcast((kmeans(sample[:, :cut], many), kmeans(sample[:, cut:], many) if length.d > 1 else np.zeros((1, 0), dtype=np.float32)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,64 +184,57 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.5,
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], names=["uid", "v", "ids", "cell"])
 
     index = materialize(unique.select("uid", "v", "ids").mapInArrow(assign, "uid long, v array<double>, ids array<long>, cell int"), "index")
-    # at most centroids ** 2 rows
-    sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
-    left, right = books.value
-    held = np.zeros(len(left) * len(right), dtype=np.int64)
-    first_bin = np.zeros(len(held), dtype=np.int64)
-    cuts = np.ones(len(held), dtype=np.int64)
+    # at most CENTROIDS ** 2 rows
+    sizes = sorted((r["cell"], r["count"]) for r in index.groupBy("cell").count().collect())
+    cells, held = (np.array(x, dtype=np.int64) for x in zip(*sizes, strict=True))
+    first_bin, cuts = np.zeros(len(cells), dtype=np.int64), -(-held // BIN)
     at, room = 0, BIN
-    for cell in range(len(held)):
-        held[cell] = sizes.get(cell, 0)
-        if held[cell] > room and room < BIN:
+    for c, size in enumerate(held.tolist()):
+        if size > room and room < BIN:
             at, room = at + 1, BIN
-        first_bin[cell], cuts[cell] = at, max(1, math.ceil(held[cell] / BIN))
-        if cuts[cell] > 1:
-            at, room = at + int(cuts[cell]), BIN
+        first_bin[c] = at
+        if cuts[c] > 1:
+            at, room = at + int(cuts[c]), BIN
         else:
-            room -= int(held[cell])
-    enough = max(least, math.ceil(share * n))
-    few = sample[:FLOORS]
+            room -= size
+    enough = max(2 * k + 2, math.ceil(share * n))
+    few = np.unique(sample[:FLOORS], axis=0)
     near = lambda x, c: np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
-    few_cells = near(few[:, :cut], left) * len(right) + near(few[:, cut:], right)
-    plan = spark.sparkContext.broadcast((held, first_bin, cuts, few, few_cells))
-    blocks = max(1, math.ceil(n / every / BLOCK))
+    few_cells = np.stack([near(few[:, :cut], books.value[0]), near(few[:, cut:], books.value[1])])
+    plan = spark.sparkContext.broadcast((cells, held, first_bin, cuts, few, few_cells))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = books.value
-        held, first_bin, cuts, few, few_cells = plan.value
+        cells, held, first_bin, cuts, few, few_cells = plan.value
+        wide = np.flatnonzero(cuts > 1)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, q = b.column(0).to_pylist(), _matrix(b.column(1))
-            s1, s2 = q[:, :cut] @ left.T, q[:, cut:] @ right.T
-            rows: list[tuple] = []
-            rough = q.astype(np.float32) @ few.T
-            seen = np.zeros(len(held), dtype=bool)
-            for r, qid in enumerate(ids):
-                bins: dict[int, list[int]] = {}
-                cells = walk(s1[r], s2[r], held, enough)
-                for cell in cells:
-                    for part in range(int(cuts[cell])):
-                        bins.setdefault(int(first_bin[cell]) + part, []).append(cell)
-                seen[:] = False
-                seen[cells] = True
-                mine = rough[r, seen[few_cells]]
-                # single precision may be off by a little
-                floor = float(np.partition(mine, -k - 1)[-k - 1]) if len(mine) > k else -math.inf
-                floor -= 1e-5 * (1 + abs(floor)) if floor > -math.inf else 0.0
-                rows += [(qid, r, at, own, floor) for at, own in bins.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.int64()), b.column(1).take(pa.array([x[1] for x in rows])), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int32())), pa.array([x[4] for x in rows], pa.float64())],
-                names=["vec_id", "v", "bin", "cells", "floor"],
-            )
-
-    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(visit, "vec_id long, v array<double>, bin long, cells array<int>, floor double")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    place = spark.createDataFrame([(c, int(first_bin[c]), int(cuts[c])) for c in sizes], "cell int, bin0 long, cuts long")
-    dealt = index.join(F.broadcast(place), "cell").select("uid", "v", "ids", "cell", (F.col("bin0") + F.pmod(F.xxhash64("uid"), F.col("cuts"))).alias("bin"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = asked.groupBy("bin", "block").cogroup(dealt.groupBy("bin", "block")).applyInArrow(lambda a, b: _best(a, b, k + 1), "query_id long, score double, ids array<long>")
-    ranked = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").dropDuplicates(["query_id", "vec_id", "score"])
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                q = _matrix(part.column(1))
+                s1, s2 = _scores(q, left, right, cut)
+                rough = q.astype(np.float32) @ few.T
+                row, bins, least, floors = [], [], np.empty(len(q)), np.full(len(q), -math.inf)
+                for r in range(len(q)):
+                    least[r] = walk(s1[r], s2[r], cells, held, enough)
+                    met = s1[r][cells // len(right)] + s2[r][cells % len(right)] >= least[r] - 1e-9
+                    own = [first_bin[met], *(first_bin[c] + np.arange(1, cuts[c]) for c in wide[met[wide]])]
+                    bins.append(np.unique(np.concatenate(own)))
+                    row.append(np.full(len(bins[-1]), r))
+                    mine = rough[r, s1[r][few_cells[0]] + s2[r][few_cells[1]] >= least[r] + 1e-9]
+                    if len(mine) > k:
+                        floors[r] = np.partition(mine, -k - 1)[-k - 1]
+                row = np.concatenate(row)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bins)), part.column(0).take(take), part.column(1).take(take), pa.array(least[row]), pa.array(floors[row])], names=["bin", "id", "v", "least", "floor"])
+
+    queries = good.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").repartition(shuffle_width(spark), F.xxhash64("vec_id"))
+    asked = queries.mapInArrow(visit, "bin long, id long, v array<double>, least double, floor double")
+    asked = asked.select("bin", F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("int").alias("cell"), "least", "floor", F.lit(None).cast("array<long>").alias("ids"))
+    # a row an occupied cell, CENTROIDS ** 2 at most
+    place = spark.createDataFrame(list(zip(cells.tolist(), first_bin.tolist(), cuts.tolist(), strict=True)), "cell int, bin0 long, cuts long")
+    dealt = index.join(F.broadcast(place), "cell").select((F.col("bin0") + F.pmod(F.xxhash64("uid", "v"), F.col("cuts"))).alias("bin"), F.lit(0).alias("kind"), F.col("uid").alias("id"), "v", "cell", F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("floor"), "ids")
+    met = dealt.unionByName(asked).repartition(shuffle_width(spark), "bin").sortWithinPartitions("bin", "kind")
+    found = met.mapInArrow(_rerank(books, cut, k + 1), "query_id long, score double, ids array<long>")
+    best = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

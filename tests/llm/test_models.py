@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosodia.llm import ann, hmm, langid, toxicity
+from prosodia.llm.shared import sample_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -112,11 +113,60 @@ def test_ordinal_fit_and_scores():
     grade = (rng.logistic(size=3000)[:, None] + eta[:, None] > cuts[None, :]).sum(axis=1)
     w, t = toxicity.fit_ordinal(x, grade, penalty=0.0, rounds=1500)
     assert np.allclose(w, [1.5, -0.7], atol=0.2) and np.allclose(t, cuts, atol=0.3)
-    words = toxicity.Words(pa.array(["bad worse", "Bad, bad. fine", None]), lower=True, apart=toxicity._APART)
-    features = np.sort(words.hash[:2])
-    m = toxicity.Model(features, np.array([1.0, 1.0]), np.array([1.0, 2.0, 3.0]))
-    p = m.at_least(pa.array(["bad worse", "Bad, bad. fine", None]))
-    assert p[0, 0] == pytest.approx(1 / (1 + math.exp(1 - 2))) and p[1, 1] == pytest.approx(1 / (1 + math.exp(2 - math.log2(3)))) and p[2, 2] == pytest.approx(1 / (1 + math.exp(3)))
+    texts = pa.array(["bad worse", "Bad, bad. fine", None])
+    name = lambda text, level: int(np.flatnonzero(np.bincount(toxicity._features(pa.array([text]))[1]))[0]) + level
+    bad = min(name("bad", 0), name("bad", 1) - 1)
+    m = toxicity.Model(np.array([bad, bad + 1]), np.array([1.0, 0.5]), np.array([1.0, 2.0, 3.0]))
+    p = m.at_least(texts)
+    assert p[0, 0] == pytest.approx(1 / (1 + math.exp(1 - 1))) and p[1, 1] == pytest.approx(1 / (1 + math.exp(2 - 1.5))) and p[2, 2] == pytest.approx(1 / (1 + math.exp(3)))
+
+
+def test_toxicity_features_are_counts_of_words_and_beginnings():
+    def plain(text):
+        words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower()).encode().split()]
+        counts = Counter(("w", w) for w in words) + Counter((k, w[:k]) for w in words for k in toxicity.BEGINNINGS if len(w) >= k)
+        return sum(c >= least for c in counts.values() for least in toxicity.LEAST_COUNTS)
+
+    texts = ["Moron, moronic; MORON moron!", "", None, "a bb ccc dddd eeeee ffffff", "x " * 50]
+    doc, _ = toxicity._features(pa.array(texts))
+    assert [int((doc == i).sum()) for i in range(5)] == [plain(t) for t in texts]
+
+
+def test_toxicity_on_labels_that_the_model_did_not_see(spark):
+    """Held-out recall and precision, with insults that only share their beginning and clean words that share it too."""
+    rng = random.Random(21)
+    tails = [f"{a}{b}" for a in "lmnprst" for b in ("a", "e", "io", "un", "ar")]
+    rows = []
+    for i in range(1600):
+        words = [f"{rng.choice('bcdfg')}{rng.randrange(700)}x" for _ in range(rng.randint(20, 200))]
+        if i % 9 == 0:
+            words += ["vilx" + rng.choice(tails) + rng.choice(tails) for _ in range(rng.randint(2, 6))]
+        elif i % 9 == 1:
+            words.append("vilx" + rng.choice(tails))  # once is no insult
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 9 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.filter("doc_id % 4 <> 0").select("doc_id", "toxic")
+    model = toxicity.train(table.select("doc_id", "text"), labels)
+    said = {r.doc_id: r.toxic for r in toxicity.severity(table.select("doc_id", "text"), model).collect()}
+    unseen = [r for r in rows if r[0] % 4 == 0]
+    hits = sum(said[i] for i, _, t in unseen if t)
+    assert hits >= 0.95 * sum(t for _, _, t in unseen) and hits >= 0.95 * sum(said[i] for i, _, _ in unseen)
+
+
+def test_cut_has_the_best_f1():
+    p, toxic = np.array([0.9, 0.4, 0.4, 0.2, 0.1]), np.array([True, True, True, False, False])
+    assert toxicity.best_cut(p, toxic) == pytest.approx(0.3)
+    assert toxicity.best_cut(np.array([0.9, 0.9, 0.1]), np.array([True, False, False])) == pytest.approx(0.5)
+
+
+def test_sampled_rows_are_those_of_least_hash(spark):
+    df = spark.range(5000).withColumn("text", F.lit("same"))
+    least = sorted(df.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 32))).collect(), key=lambda r: r.h)
+    for n in (1, 100, 4999):
+        assert {r.id for r in sample_rows(df.repartition(7), n, by="id").collect()} == {r.id for r in least[:n]}
+    assert sample_rows(df, 5000).count() == 5000 and sample_rows(df.limit(0), 5).count() == 0
+    assert sample_rows(df.withColumn("id", F.lit(1)), 10, by="id").count() == 10
 
 
 def brute(rows, k, every):
@@ -141,7 +191,7 @@ def test_neighbours_exact_when_all_cells_are_met(spark):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(400)]
     rows += [(1000 + i, rows[5][1]) for i in range(60)] + [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] + [1.0] * 7), (2060, [None] + [1.0] * 7), (2080, [1.0] * 3), (None, [1.0] * 8), (7, rows[7][1]), (20, rows[20][1])]
     got = {}
-    for r in ann.search(vectors(spark, rows), k=20, every=20).orderBy("query_id", "rank").collect():
+    for r in ann.search(vectors(spark, rows), k=20, every=20, share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
     want = brute([r for r in rows if r[0] != 2080], 20, 20)
@@ -151,27 +201,55 @@ def test_neighbours_exact_when_all_cells_are_met(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
 
 
+def recall(spark, rows, **how):
+    want = brute(rows, 20, 20)
+    got = {}
+    for r in ann.search(vectors(spark, rows), k=20, every=20, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) for q in want)
+    return np.mean([len(got[q] & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
 def test_neighbours_recall_and_small_tables(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + 0.3 * rng.normal(size=16)]) for i in range(3000)]
-    out = ann.search(vectors(spark, rows), k=20, every=20, share=0.1, least=100)
-    want = brute(rows, 20, 20)
-    got = {}
-    for r in out.collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert recall(spark, rows, share=0.1, centroids=32) >= 0.9
     few = ann.search(vectors(spark, rows[:5]), k=20, every=1).collect()
     assert len(few) == 20 and {r["rank"] for r in few} == {1, 2, 3, 4}
     assert ann.search(vectors(spark, rows[:5]).limit(0)).collect() == [] and ann.search(vectors(spark, [(20, [1.0, 2.0])])).collect() == []
 
 
-def test_walk_is_in_order_of_sums():
-    a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.1])
-    held = np.ones(6, dtype=int)
-    cells = ann.walk(a, b, held, 6)
-    sums = [a[c // 2] + b[c % 2] for c in cells]
-    assert sums == sorted(sums, reverse=True) and len(cells) == 6 and len(ann.walk(a, b, held, 2)) == 2
+def test_neighbours_of_vectors_without_structure_meet_less_than_half(spark):
+    """The index is in use at every size: the recall is that of the documented share, not of a full scan."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 64))
+    rows = [(i, [float(np.float32(x)) for x in u / np.linalg.norm(u)]) for i, u in enumerate(v)]
+    assert ann.SHARE < 0.5 and 0.9 <= recall(spark, rows) < 1.0
+    assert recall(spark, rows, share=0.05) < 0.8
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(vectors(spark, rows), k=2, every=20).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 2.0), (20, 2, 2, 2.0)]
+    many = [(20, [1.0, 1.0])] + [(i % 3 + 1, [float(9 - i), 1.0]) for i in range(9)]
+    got = [(r.vec_id, r.score) for r in ann.search(vectors(spark, many), k=3, every=20, share=1.0).orderBy("rank").collect()]
+    assert got == [(1, 10.0), (2, 9.0), (3, 8.0)]
+
+
+def test_walk_stops_at_the_sum_that_holds_enough():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a, b = rng.normal(size=6), rng.normal(size=5)
+        cells = np.sort(rng.choice(30, size=17, replace=False))
+        held = rng.integers(1, 9, size=17)
+        sums = a[cells // 5] + b[cells % 5]
+        for enough in (1, 20, int(held.sum())):
+            order = np.argsort(-sums)
+            want = sums[order][np.searchsorted(np.cumsum(held[order]), enough)]
+            assert ann.walk(a, b, cells, held, enough) == want
+        assert ann.walk(a, b, cells, held, int(held.sum()) + 1) == -math.inf
 
 
 def test_language_model(spark, talk):
