@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join: exact links by a prefix-tree join, and the components they form.
 
 A document's set is its distinct word n-grams as 64-bit fingerprints in one global order: by a
-frequency class from counts over the whole corpus, then by fingerprint. Two sets that link share a
+frequency class from counts over the whole corpus, then by fingerprint. Documents with equal sets are one set
+with one representative from here on. Two sets that link share a
 token among the first ``n - ceil(t * n) + 1`` of each, and several if both show some more; a set that
 shows too few tokens which others show too drops out. For each shared prefix token the least set
 that has it is its hub; block h holds all sets that share with h a token whose hub is h, so every
@@ -12,8 +13,9 @@ Inside a block each component found so far is a trie of ordered sets. A new set
 sharing partial overlaps along common paths and leaving a subtree as soon as the tokens left could
 not reach the threshold; at the first link it joins that component, because more links to the same
 component would tell nothing new. A group of n near copies costs about n descents, not n * n pairs.
-Blocks beyond a bound are cut into a grid of parts that each fit a task. Exact copies are one set
-throughout.
+A block beyond a bound is cut into parts, each with the block's first set as an anchor. Whatever links
+with the anchor's component needs no more; only the strays left go to the other parts too, so a large
+group of near copies costs about a row a set, not a grid of parts.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 from prosodia.llm.components import components
 from prosodia.llm.shared import Words, materialize, mix, pieces, powers, sum_arrays
 
-#: Buckets of the frequency table (as 32-bit counts, 1 MB whatever the corpus), and rows it travels in.
-TABLE_BITS, CHUNKS = 18, 16
+#: Buckets of the frequency table (4 MB of classes whatever the corpus), and rows it travels in.
+TABLE_BITS, CHUNKS = 22, 16
 #: Sets and tokens that a part of a block holds, about.
 PART_SETS, PART_TOKENS = 4_096, 4_000_000
 #: Sets that may link up to which their list is broadcast to the texts; beyond it the texts are shuffled.
 BROADCAST_SETS = 100_000
+#: Rows that aren't their set's representative up to which their names are broadcast (16 MB).
+BROADCAST_COPIES = 1_000_000
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,32 +87,36 @@ def set_ids(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _survey(n: int):
-    """mapInArrow: a row a document (size and name of its set), then this task's n-gram counts."""
+    """mapInArrow over (name, doc_id, text): a row a document (size and name of its set), then this task's n-gram counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "set_id", "chunk", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        table = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+        names = ["name", "doc_id", "n", "set_id", "chunk", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for piece in pieces(batches):
-            grams, doc = shingles(piece.column(1), n)
+            grams, doc = shingles(piece.column(2), n)
             table += np.bincount((grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
             keys, first = ordered_sets(grams, doc, piece.num_rows, None)
             m = piece.num_rows
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array(set_ids(keys, first)), pa.nulls(m, kinds[3]), pa.nulls(m, kinds[4])], names=names)
-        parts = [c.astype("<u4").tobytes() for c in np.split(np.minimum(table, 2**32 - 1), CHUNKS)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, k) for k in kinds[:3]), pa.array(range(CHUNKS), kinds[3]), pa.array(parts, kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1).cast(pa.int64()), pa.array(np.diff(first)), pa.array(set_ids(keys, first)), pa.nulls(m, kinds[4]), pa.nulls(m, kinds[5])], names=names)
+        # a byte a bucket; a task's larger counts only have to stay large
+        parts = [c.astype("<u1").tobytes() for c in np.split(np.minimum(table, 255), CHUNKS)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, k) for k in kinds[:4]), pa.array(range(CHUNKS), kinds[4]), pa.array(parts, kinds[5])], names=names)
 
     return run
 
 
 def _classes(survey: DataFrame) -> np.ndarray:
-    """Frequency class of each bucket: 0 up to twice the mean count, one more for each doubling.
+    """Frequency class of each bucket: 0 up to what chance explains, one more for each doubling of the excess.
 
-    It only orders tokens; any table gives the same links.
+    Buckets hold many tokens each, so counts spread by about the root of their mean; a token stands out by
+    more than four of these. It only orders tokens; any table gives the same links.
     """
-    rows = sum_arrays(survey.filter("chunk is not null").select("chunk", "counts"), "<u4")  # 2 MB by construction
-    counts = np.concatenate([rows[k] for k in range(CHUNKS)]).astype(np.float64)
-    return np.minimum(np.log2(np.maximum(1.0, counts / max(1.0, 2 * counts.mean()))).astype(np.uint8) + (counts > max(1.0, 2 * counts.mean())), 62).astype(np.uint8)
+    rows = sum_arrays(survey.filter("chunk is not null").select("chunk", "counts"), "<u1")  # 32 MB by construction
+    counts = np.concatenate([rows[k] for k in range(CHUNKS)]).astype(np.float32)
+    spread = 4 * np.sqrt(counts.mean()) + 1
+    over = (counts - counts.mean()) / spread
+    return np.where(over > 1, np.minimum(np.log2(np.maximum(over, 1)) + 1, 62), 0).astype(np.uint8)
 
 
 def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +131,11 @@ def prefix_lengths(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefixes(n: int, percent: int, table, bits: int):
-    """mapInArrow: a row a document that has words, with its prefix tokens (``bits`` of each) and bitmap."""
+    """mapInArrow over (name, text): a row a document that has words, with its prefix tokens (``bits`` of each) and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             grams, doc = shingles(piece.column(1), n)
-            plain, at = ordered_sets(grams, doc, piece.num_rows, None)
-            names = set_ids(plain, at)
             keys, first = ordered_sets(grams, doc, piece.num_rows, table.value)
             size = np.diff(first)
             length, need = prefix_lengths(size, percent)
@@ -138,13 +144,13 @@ def _prefixes(n: int, percent: int, table, bits: int):
             # a clash of shortened tokens only makes two sets candidates
             tokens = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array((mix(flat) >> np.uint64(64 - bits)).astype(np.int64)))
             maps = pa.array([bitmap(keys[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(names), pa.array(size), pa.array(need), tokens, maps], names=["doc_id", "set_id", "n", "need", "tokens", "map"]).filter(pa.array(size > 0))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size), pa.array(need), tokens, maps], names=["name", "n", "need", "tokens", "map"]).filter(pa.array(size > 0))
 
     return run
 
 
 def _sets(n: int, table):
-    """mapInArrow: (text, set_id, cells) -> one row a cell with the whole ordered set."""
+    """mapInArrow: (text, name, cells) -> one row a cell with the whole ordered set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -157,7 +163,7 @@ def _sets(n: int, table):
             # a set goes out cell by cell, so a batch stays near the size of its piece
             for k in range(0, len(at), 256):
                 some = at[k : k + 256]
-                yield pa.RecordBatch.from_arrays([cell.field("cell").slice(k, 256), cell.field("side").slice(k, 256), piece.column(1).take(pa.array(some)), pa.array([rows[i] for i in some], pa.binary())], names=["cell", "side", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([cell.field("cell").slice(k, 256), cell.field("side").slice(k, 256), piece.column(1).take(pa.array(some)), pa.array([rows[i] for i in some], pa.binary())], names=["cell", "side", "name", "keys"])
 
     return run
 
@@ -189,13 +195,13 @@ def alive(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, percent: int)
                 continue
             for v, (other, theirs) in by_width.items():
                 a, b = np.searchsorted(sizes[other], [-(-percent * sizes[i] // 100), 100 * sizes[i] // percent + 1])
-                if a >= b or max(v, w) > 2 * min(v, w):
+                if a >= b:
                     continue
                 mine, those = own[k], theirs[a:b]
-                if v > w:
+                while those.shape[1] > len(mine):
                     half = those.shape[1] // 2
                     those = those[:, :half] ^ those[:, half:]
-                elif v < w:
+                while len(mine) > those.shape[1]:
                     half = len(mine) // 2
                     mine = mine[:half] ^ mine[half:]
                 apart = np.bitwise_count(those ^ mine).sum(axis=1, dtype=np.int64)
@@ -209,7 +215,7 @@ def alive(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, percent: int)
 
 
 def _live_cells(percent: int):
-    """mapInArrow over (cell, side, set_id, n, map) sorted by cell: the sets of each cell that may link there."""
+    """mapInArrow over (cell, side, name, n, map) sorted by cell: the sets of each cell that may link there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -223,7 +229,7 @@ def _live_cells(percent: int):
         def emit() -> pa.RecordBatch:
             columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["cell", "side", "set_id"])
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "side", "name"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -351,87 +357,125 @@ def _link_cells(percent: int):
 
 
 def without_contained(live: DataFrame) -> DataFrame:
-    """Rows (cell, side, set_id) without the cells whose sets are all in one larger cell, where they meet as well.
+    """Rows (cell, side, name) without the cells whose sets are all in one larger cell, where they meet as well.
 
     A cell is held against the largest cell of its least set, by (sets, cell); as that order has no
-    cycle, what is dropped is in a cell that stays. Parts of large blocks all stay.
+    cycle, what is dropped is in a cell that stays. Cells of two sides all stay.
     """
-    whole = live.groupBy("cell").agg(F.count("*").alias("size"), F.max("side").alias("sides"), F.min("set_id").alias("first")).filter("sides = 0")
+    whole = live.groupBy("cell").agg(F.count("*").alias("size"), F.max("side").alias("sides"), F.min("name").alias("first")).filter("sides = 0")
     whole = materialize(whole.select("cell", "size", "first"), "cells")
-    largest = live.join(whole, "cell").groupBy("set_id").agg(F.max(F.struct("size", "cell")).alias("most"))
-    under = whole.join(largest, F.col("first") == F.col("set_id")).filter(F.col("most") > F.struct("size", "cell")).select("cell", "size", F.col("most.cell").alias("__in"))
-    there = live.select(F.col("cell").alias("__in"), F.col("set_id").alias("__set"))
-    both = live.join(under, "cell").withColumnRenamed("set_id", "__set").join(there, ["__in", "__set"])
+    largest = live.join(whole, "cell").groupBy("name").agg(F.max(F.struct("size", "cell")).alias("most"))
+    under = whole.join(largest, F.col("first") == F.col("name")).filter(F.col("most") > F.struct("size", "cell")).select("cell", "size", F.col("most.cell").alias("__in"))
+    there = live.select(F.col("cell").alias("__in"), F.col("name").alias("__name"))
+    both = live.join(under, "cell").withColumnRenamed("name", "__name").join(there, ["__in", "__name"])
     inside = both.groupBy("cell", "size").agg(F.count("*").alias("n")).filter("n = size").select("cell")
     return live.join(inside, "cell", "left_anti")
 
 
+def _links(texts: DataFrame, celled: DataFrame, n: int, percent: int, table) -> DataFrame:
+    """(a, b): links by name that connect what links in each cell; ``celled`` is (cell, side, name, n, map)."""
+    live = celled.repartition("cell").sortWithinPartitions("cell", "name").mapInArrow(_live_cells(percent), "cell long, side int, name long")
+    live = without_contained(materialize(live, "live"))
+    wanted = materialize(live.groupBy(F.col("name").alias("__name")).agg(F.collect_list(F.struct("cell", "side")).alias("cells")), "wanted")
+    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
+    own = texts.join(wanted, F.col("name") == F.col("__name")).select("text", "name", "cells")
+    sets = own.mapInArrow(_sets(n, table), "cell long, side int, name long, keys binary")
+    return sets.repartition("cell").sortWithinPartitions("cell", "name").mapInArrow(_link_cells(percent), "a long, b long")
+
+
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id for every row of ``docs`` (doc_id, text).
 
     Documents link when 100 * |A & B| >= percent * |A | B| over their distinct n-grams of words
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer words is one n-gram. Null and wordless
     texts have n_shingles 0 and are their own component. component_id is the least doc_id that links
-    reach. Rows that repeat a doc_id are separate rows of that id; other columns are not read; an
-    empty table gives no rows.
+    reach, or null if all of them are null. Rows that repeat a doc_id, or have none, are rows of their own; other
+    columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text")
-    survey = materialize(own.mapInArrow(_survey(n), "doc_id long, n long, set_id long, chunk int, counts binary"), "survey")
-    members = survey.filter("chunk is null").select("doc_id", "n", "set_id")
-    if not members.limit(1).count():
-        return members.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.col("doc_id").alias("component_id"))
-    table = spark.sparkContext.broadcast(_classes(survey))
-
-    total = members.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"), F.sum("n").alias("n")).first()
-    bits = min(63, 15 + max(1, int(total.n)).bit_length())
-    schema = "doc_id long, set_id long, n long, need long, tokens array<long>, map binary"
-    prefixes = materialize(own.mapInArrow(_prefixes(n, percent, table, bits), schema), "prefixes")
+    ids = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("different")).first()
+    if not ids.rows:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("set_id"), F.col("doc_id").cast("long").alias("component_id"))
     # rows are named by doc_id, which packs better than a hash, unless ids repeat or are missing
-    name = "doc_id" if total.rows == total.ids else "set_id"
-    rows = prefixes.select(F.explode("tokens").alias("t"), F.col(name).alias("name"))
+    unique = ids.rows == ids.ids == ids.different
+    own = docs.select((F.col("doc_id").cast("long") if unique else F.xxhash64("doc_id", "text")).alias("name"), "doc_id", "text")
+    survey = materialize(own.mapInArrow(_survey(n), "name long, doc_id long, n long, set_id long, chunk int, counts binary"), "survey")
+    members = survey.filter("chunk is null").select("name", "doc_id", "n", "set_id")
+    table = spark.sparkContext.broadcast(_classes(survey))
+    # one row stands for each set
+    first = members.filter("n > 0").groupBy("set_id").agg(F.min("name").alias("rep"), F.count("*").alias("rows"))
+    first = materialize(first, "sets")
+    copies = materialize(members.join(first.filter("rows > 1"), "set_id").filter("name <> rep").select(F.col("name").alias("__copy")).distinct(), "copies")
+    if copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+
+    total = members.agg(F.sum("n")).first()[0]
+    bits = min(63, 15 + max(1, int(total)).bit_length())
+    schema = "name long, n long, need long, tokens array<long>, map binary"
+    prefixes = own.select("name", "text").mapInArrow(_prefixes(n, percent, table, bits), schema).join(copies, F.col("name") == F.col("__copy"), "left_anti")
+    prefixes = materialize(prefixes if unique else prefixes.dropDuplicates(["name"]), "prefixes")
+    rows = prefixes.select(F.explode("tokens").alias("t"), "name")
     shared = rows.groupBy("t").agg(F.min("name").alias("hub"), F.max("name").alias("last")).filter("hub <> last").select("t", "hub")
     seen = rows.join(shared, "t").groupBy("name").agg(F.count("*").alias("seen"), F.collect_set("hub").alias("hubs"))
-    maps = prefixes.select(F.col(name).alias("name"), "set_id", "n", "need", "map")
-    maps = maps if name == "doc_id" else maps.dropDuplicates(["name"])
     # a set that shows too few tokens which others show too has no partner
-    blocks = seen.join(maps, "name").filter("seen >= need").select("set_id", "n", "map", F.explode("hubs").alias("hub"))
-    blocks = blocks.groupBy("set_id", "hub").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    blocks = seen.join(prefixes.select("name", "n", "need", "map"), "name").filter("seen >= need").select("name", "n", "map", F.explode("hubs").alias("hub"))
     blocks = materialize(blocks, "blocks")
-    large = blocks.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum("n") / PART_TOKENS)).cast("int").alias("parts")).filter("parts > 1")
-    # cell of a block: its hub, or one of the pairs of parts of a large block
-    placed = blocks.join(large, "hub", "left").withColumn("part", F.pmod(F.xxhash64("set_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    parts = F.expr("transform(sequence(0, coalesce(parts, 1) - 1), j -> struct(xxhash64(hub, least(part, j), greatest(part, j)) as cell, if(part = j, 0, if(part < j, 1, 2)) as side))")
-    celled = placed.select("set_id", "n", "map", F.explode(parts).alias("c")).select("c.cell", "c.side", "set_id", "n", "map")
-    live = celled.repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_live_cells(percent), "cell long, side int, set_id long")
-    live = without_contained(materialize(live, "live"))
-    cells = live.groupBy("set_id").agg(F.collect_list(F.struct("cell", "side")).alias("cells"))
-    one = members.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("__doc"))
-    wanted = materialize(one.join(cells, "set_id"), "wanted")
-    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
-    # one text of each set that may link
-    texts = own.join(wanted, F.col("doc_id") == F.col("__doc")).select("text", "set_id", "cells")
-    sets = texts.mapInArrow(_sets(n, table), "cell long, side int, set_id long, keys binary")
-    links = sets.repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_link_cells(percent), "a long, b long")
+    large = blocks.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / PART_SETS, F.sum("n") / PART_TOKENS)).cast("int").alias("parts"), F.min(F.struct("name", "n", "map")).alias("anchor")).filter("parts > 1")
+    large = materialize(large, "large")
+    placed = blocks.join(large.select("hub", "parts"), "hub", "left").withColumn("part", F.pmod(F.xxhash64("name"), F.coalesce("parts", F.lit(1))).cast("int"))
+    cell = lambda part: F.xxhash64("hub", part).alias("cell")
+    celled = placed.select(cell(F.col("part")), F.lit(0).alias("side"), "name", "n", "map")
+    texts = own.select("name", "text") if unique else own.select("name", "text").dropDuplicates(["name"])
+    if large.limit(1).count():
+        anchors = large.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("part") != F.pmod(F.xxhash64("anchor.name"), F.col("parts")))
+        celled = celled.unionByName(anchors.select(cell(F.col("part")), F.lit(0).alias("side"), "anchor.*"))
+        links = materialize(_links(texts, celled, n, percent, table), "links")
+        links = links.unionByName(_stray_links(texts, placed, large, links, n, percent, table))
+    else:
+        links = _links(texts, celled, n, percent, table)
     roots = components(links)
 
-    joined = materialize(members.join(roots, F.col("set_id") == F.col("node"), "left").select("doc_id", "n", "set_id", F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root")), "roots")
+    of = members.join(first.select(F.col("set_id").alias("__set"), "rep"), F.col("set_id") == F.col("__set"), "left")
+    joined = materialize(of.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", "n", "set_id", F.coalesce("root", "rep").alias("root")), "roots")
     # written, so that the join below has two plain exchanges and a large component's can be split
-    least = materialize(joined.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    least = materialize(joined.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = joined.join(least.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _stray_links(texts: DataFrame, placed: DataFrame, large: DataFrame, links: DataFrame, n: int, percent: int, table) -> DataFrame:
+    """Links between the parts of large blocks: sets that aren't in the anchor's component yet meet all other parts."""
+    roots = materialize(components(links).select(F.col("node").alias("__node"), "root"), "roots")
+    anchors = large.select("hub", F.col("anchor.name").alias("anchor")).join(roots, F.col("anchor") == F.col("__node"), "left").select("hub", F.coalesce("root", "anchor").alias("home"))
+    inside = placed.filter("parts is not null").join(anchors, "hub").join(roots, F.col("name") == F.col("__node"), "left")
+    strays = materialize(inside.filter(F.coalesce("root", "name") != F.col("home")).select("hub", "parts", "part", "name", "n", "map"), "strays")
+    cell = lambda part: F.xxhash64("hub", part, F.lit(1)).alias("cell")
+    away = strays.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("to <> part")
+    away = away.select(cell(F.col("to")), F.lit(1).alias("side"), "name", "n", "map")
+    home = placed.join(strays.select("hub").distinct(), "hub", "left_semi").select(cell(F.col("part")), F.lit(0).alias("side"), "name", "n", "map")
+    return _links(texts, home.unionByName(away), n, percent, table)
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the row of its least doc_id; all columns, wordless rows stay.
+    """One row of each component: that of its least doc_id (nulls last), of those the least set; all columns.
 
-    Of rows that repeat that doc_id, those with the same set are one.
+    Every row without words stays. Rows of that doc_id with the same set are one. A row is told from others of
+    its doc_id by its text, so a repeated doc_id loses no text that is the only one of its component. An
+    empty table gives no rows.
     """
-    found = ngram_components(docs, n, percent)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("__again"))
-    twice = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
-    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return single.unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    unique = docs.agg(F.count("*") == F.countDistinct("doc_id")).first()[0]
+    found = ngram_components(docs, n, percent) if unique else None
+    if unique:
+        gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # rows by their content: rows equal in id and text are one
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    rows = materialize(named.select("__row", F.col("doc_id").alias("__id"), "text").dropDuplicates(["__row"]), "rows")
+    found = ngram_components(rows.select(F.col("__row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("__row"), "n_shingles", "set_id", F.col("component_id").alias("__of"))
+    best = found.join(rows.select("__row", "__id"), "__row").filter("n_shingles > 0").groupBy("__of").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "set_id", "__row")).alias("b"))
+    stay = best.select(F.col("b.__row").alias("__stay"))
+    words = found.filter("n_shingles > 0").select(F.col("__row").alias("__worded"))
+    wordless = named.join(words, F.col("__row") == F.col("__worded"), "left_anti")
+    kept = named.join(stay, F.col("__row") == F.col("__stay"), "left_semi").dropDuplicates(["__row"])
+    return wordless.unionByName(kept).drop("__row")

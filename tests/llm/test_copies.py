@@ -82,18 +82,60 @@ def test_components_with_unique_ids_and_grids(docs, monkeypatch):
     want = plain_components(rows, 4, 85)
     as_rows = lambda df: sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in df.collect())
     assert as_rows(ngram_join.ngram_components(some, 4, 85)) == want
-    monkeypatch.setattr(ngram_join, "PART_SETS", 5)  # large blocks become grids of parts
+    monkeypatch.setattr(ngram_join, "PART_SETS", 5)  # large blocks are cut into parts
     monkeypatch.setattr(ngram_join, "BROADCAST_SETS", 1)
+    monkeypatch.setattr(ngram_join, "BROADCAST_COPIES", 1)
     assert as_rows(ngram_join.ngram_components(some, 4, 85)) == want
     assert ngram_join.ngram_components(docs.filter("doc_id = -9")).collect() == []
 
 
+def test_components_of_strays_in_large_blocks(spark, monkeypatch):
+    """Chains of near copies: neighbours link, far ones don't, so parts of a block hold strays of the anchor."""
+    rng = random.Random(31)
+    words, rows = prose(rng, 60, 10**6), []
+    for i in range(80):
+        rows.append((i, " ".join(words)))
+        for _ in range(1 if i % 13 else 9):  # a wider step now and then parts the chain
+            words[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows, 1, 85)
+    assert 1 < len({c for _, _, c in want}) < 40
+    for most in (4096, 6):
+        monkeypatch.setattr(ngram_join, "PART_SETS", most)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_components(df, 1, 85).collect()) == want
+
+
+def plain_first(rows, n, percent):
+    """How many rows stay: one a component, and those without words."""
+    sets = [frozenset(shingle_set(low(t), n)) for _, t in rows]
+    comp = [c for c in range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return sum(not s for s in sets) + len({c for c, s in zip(comp, sets, strict=True) if s})
+
+
 def test_keep_first(docs):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
-    ids = sorted(str(r.doc_id) for r in kept.collect())
-    want = {(d, c) for d, _, c in plain_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)}
-    assert ids == sorted(d for d, c in want if d == c)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(got) == plain_first(rows, 5, 80) and all(r in rows for r in got)
+    some = docs.filter("doc_id is not null and source is distinct from 'again'")
+    want = {(d, c) for d, _, c in plain_components([(r.doc_id, r.text) for r in some.collect()], 5, 80)}
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_first(some).collect()) == sorted(d for d, c in want if d == c)
+
+
+def test_keep_first_with_repeated_and_missing_ids(spark):
+    a, b = (" ".join(prose(random.Random(i), 40, 900)) for i in (1, 2))
+    keep = lambda rows: sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert keep([(1, a), (5, a), (5, b)]) == sorted([(1, a), (5, b)], key=str)  # b is the only one of its component
+    assert len(keep([(5, a), (5, a.upper())])) == 1 and keep([(5, a), (5, a), (5, b)]) == sorted([(5, a), (5, b)], key=str)
+    assert keep([(None, a), (None, a), (None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert keep([(None, a), (9, a + " more"), (None, b), (None, "")]) == sorted([(9, a + " more"), (None, b), (None, "")], key=str)
+    assert keep([]) == []
 
 
 def test_trie_bitmaps_and_links():
