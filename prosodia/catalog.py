@@ -492,11 +492,6 @@ def priority_union_greedy(spark, d):
     return events.priority_union(timed(spark, d, "purchase"), timed(spark, d, "view"), "rec", "id", "t", 6 * HOUR).select("rec", "id", "origin")
 
 
-@query()
-def rescue_by_score(spark, d):
-    return events.priority_union(timed(spark, d, "purchase"), timed(spark, d, "view"), "rec", "id", "t", 6 * HOUR, by="value").select("rec", "id", "origin")
-
-
 NMS = f"""WITH RECURSIVE ev AS ({EV}), s AS (SELECT rec, id, t, value, row_number() OVER (PARTITION BY rec ORDER BY value DESC, id) AS i FROM ev),
 k AS (
   SELECT rec, 0::BIGINT AS i, []::DOUBLE[] AS ts, []::BIGINT[] AS ids FROM (SELECT DISTINCT rec FROM ev)
@@ -576,22 +571,22 @@ def leave_one_out(spark, d):
     return x.groupBy("fold").agg(F.count_if(tr).alias("n_train"), F.round(F.avg(F.when(tr, F.col("o_totalprice"))), 4).alias("train_mean"), F.round(F.avg(F.when(~tr, F.col("o_totalprice"))), 4).alias("test_mean"))
 
 
-@query("""
+COSINE = """
 WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), j AS (
-  SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + 1e-8) AS cosine FROM q a, q b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id)
-SELECT a, b, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS n FROM j) WHERE n <= 5
-""")
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + 1e-8), 12) AS cosine FROM q a, q b WHERE a.vec_id <> b.vec_id)
+SELECT a, b, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS n FROM j) WHERE n <= MOST
+"""
+
+
+@query(COSINE.replace("MOST", "5"))
 def cosine_topk(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("v").alias("va"))  # ten query vectors
-    j = e.withColumnRenamed("vec_id", "b").join(F.broadcast(q), F.col("a") != F.col("b")).withColumn("cosine", arrays.cosine(F.col("va"), F.col("v")))
-    return rounded(ranking.top_per(j.select("a", "b", "cosine"), ["a"], 5, F.desc("cosine"), F.col("b")), "cosine")
+    """The five nearest of every vector: all rows are queries, met in blocks."""
+    return rounded(ranking.cosine_neighbours(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")), 5), "cosine")
 
 
-@query()
+@query(COSINE.replace("MOST", "20"))
 def cosine_topk_all(spark, d):
-    """The five nearest of every vector; cosine_topk keeps the ten ids of its SQL."""
-    return rounded(ranking.cosine_neighbours(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")), 5), "cosine")
+    return rounded(ranking.cosine_neighbours(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")), 20), "cosine")
 
 
 @query("""

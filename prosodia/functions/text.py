@@ -58,7 +58,7 @@ def main_vowel(s: Column, vowels: str = VOWELS) -> Column:
 
 def nucleus_count(text_count: Column, word: Column, syllable_count: Column, vowels: str = VOWELS) -> Column:
     """The stored count, else the vowels of the word, else the stored number of syllables, else 0."""
-    return F.coalesce(F.greatest(text_count, F.lit(0)), F.when(F.coalesce(word, F.lit("")) != "", vowel_count(word, vowels)), syllable_count, F.lit(0))
+    return F.coalesce(F.when(text_count.isNotNull(), F.greatest(text_count, F.lit(0))), F.when(F.coalesce(word, F.lit("")) != "", vowel_count(word, vowels)), syllable_count, F.lit(0))
 
 
 def grid_quote(s: Column) -> Column:
