@@ -1,6 +1,8 @@
 """Links, repeats, benchmark passages and the pipeline against plain versions on small tables."""
 
 import hashlib
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -320,10 +322,30 @@ def test_hamming_blocks_find_all_within_radius(spark):
         for bit in rng.sample(range(63), rng.randint(0, 40)):
             b ^= 1 << bit
         rows.append((i, b))
-    df = spark.createDataFrame(rows, "i long, f long").withColumn("b", F.explode(decontaminate.blocks(F.col("f"), 20)))
-    q = spark.createDataFrame([(a,)], "q long").withColumn("b", F.explode(decontaminate.blocks(F.col("q"), 20)))
+    df = spark.createDataFrame(rows, "i long, f long").withColumn("b", F.explode(decontaminate.blocks(F.col("f"))))
+    q = spark.createDataFrame([(a,)], "q long").withColumn("b", F.explode(decontaminate.near_blocks(F.col("q"), 20)))
     near = df.join(q, "b").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("q"))) <= 20)
     assert {r.i for r in near.collect()} == {i for i, b in rows if (a ^ b).bit_count() <= 20}
+    assert q.count() == sum(sum(math.comb(w, k) for k in range(4)) for w in (10, 11, 11, 10, 11, 11))
+
+
+def test_simhash_is_the_majority_of_bits(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 10, 61, 500])] + [(9, [-1, -1, 7])]
+    rows.append((10, [5, 9] * 17_000 + [9]))  # more than a lane holds
+    for r in spark.createDataFrame(rows, "i int, g array<long>").select("g", decontaminate.simhash(F.col("g")).alias("s")).collect():
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.g) > len(r.g))
+        assert r.s == (want - (1 << 64) if want >= 1 << 63 else want)
+
+
+def test_candidate_pairs_come_from_fingerprints_and_are_few(spark):
+    """Pairs of random windows and items pass the radius with chance 0.002; blocks find the same pairs as all against all."""
+    rng = random.Random(5)
+    found = spark.createDataFrame([(i, 0, 50, i, rng.getrandbits(64) - (1 << 63)) for i in range(1500)], "doc_id long, row long, words int, start int, print long")
+    prints = spark.createDataFrame([(i, 50, rng.getrandbits(64) - (1 << 63)) for i in range(40)], "item_id long, words int, iprint long")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.candidates(found, prints, 20).collect()}
+    plain = {(w.doc_id, p.item_id) for w, p in itertools.product(found.collect(), prints.collect()) if ((w["print"] ^ p.iprint) & ((1 << 64) - 1)).bit_count() <= 20}
+    assert got == plain and 0 < len(got) < 0.01 * 1500 * 40
 
 
 def test_pipeline(spark, docs, bench, tmp_path):
