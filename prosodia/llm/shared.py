@@ -195,8 +195,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             at = to
 
 
-def sum_arrays(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Element-wise sums of (chunk int, counts binary) rows of one dtype, per chunk, on the driver.
+def sum_arrays(parts: DataFrame, dtype: str, out: str | None = None) -> dict[int, np.ndarray]:
+    """Element-wise sums of (chunk int, counts binary) rows of one dtype, per chunk, on the driver (as ``out``).
 
     Rows are added in two levels, by 64 tasks and then all, so no task holds more than a fixed number
     of arrays at once; what comes to the driver has a size fixed by the caller's arrays.
@@ -211,8 +211,12 @@ def sum_arrays(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
         return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": [total.tobytes()], "wide": [True]})
 
     schema = "chunk int, counts binary, wide boolean"
+    def last(group: pa.Table) -> pa.Table:
+        whole = add(group)
+        return pa.table({"chunk": whole["chunk"], "counts": [np.frombuffer(whole["counts"][0].as_buffer(), dtype=wide).astype(out or wide).tobytes()]})
+
     once = parts.select("chunk", "counts", F.lit(False).alias("wide"), F.floor(F.spark_partition_id() / 64).alias("at")).groupBy("chunk", "at").applyInArrow(add, schema)
-    return {r.chunk: np.frombuffer(r.counts, dtype=wide) for r in once.groupBy("chunk").applyInArrow(add, schema).collect()}
+    return {r.chunk: np.frombuffer(r.counts, dtype=out or wide) for r in once.groupBy("chunk").applyInArrow(last, "chunk int, counts binary").collect()}
 
 
 def sample_rows(df: DataFrame, n: int, by: str | None = None) -> DataFrame:

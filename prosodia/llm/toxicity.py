@@ -104,7 +104,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds:
     total, m = x.shape
     some = x.any(axis=1)
     none = np.bincount(grade[~some], minlength=grades + 1)
-    x, weight = np.concatenate([x[some], np.zeros((grades + 1, m))]), np.concatenate([np.ones(some.sum()), none])
+    x, weight = np.concatenate([x[some].astype(np.float64), np.zeros((grades + 1, m))]), np.concatenate([np.ones(some.sum()), none])
     share = np.array([np.clip((grade >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, grades + 1)])
     grade = np.concatenate([grade[some], np.arange(grades + 1)])
     n = len(x)
@@ -194,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     table = rows.mapInArrow(chosen, "doc_id long, toxic int, fold int, at array<int>").orderBy("doc_id").toArrow()
     toxic, fold = table["toxic"].to_numpy() > 0, table["fold"].to_numpy()
     column = table["at"].combine_chunks()
-    x = np.zeros((len(toxic), len(used)), dtype=np.float64)
-    x[np.repeat(np.arange(len(toxic)), np.asarray(column.value_lengths())), column.flatten().to_numpy()] = 1.0
+    x = np.zeros((len(toxic), len(used)), dtype=bool)
+    x[np.repeat(np.arange(len(toxic)), np.asarray(column.value_lengths())), column.flatten().to_numpy()] = True
 
     def unseen(grade: np.ndarray, grades: int) -> np.ndarray:
         """P(grade >= 1) of each document under the model of the other folds."""
@@ -204,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             own = np.searchsorted(used, picks[k])
             mine = fold == k
             if mine.any():
-                w, t = fit_ordinal(x[~mine][:, own], grade[~mine], grades)
-                p[mine] = _above(x[mine][:, own] @ w, t)[:, 0]
+                w, t = fit_ordinal(x[np.ix_(~mine, own)], grade[~mine], grades)
+                p[mine] = _above(x[np.ix_(mine, own)].astype(np.float32) @ w, t)[:, 0]
         return p
 
     rough = unseen(toxic.astype(np.int64), 1)
