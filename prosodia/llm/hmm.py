@@ -1,14 +1,18 @@
 """Language-model scores from a hidden Markov model over words.
 
-Symbols are the most frequent training words (the head, at most ``HEAD``), one class for all other
-words, and the end of a text. Baum-Welch runs over every training document: each task sums its
-expected counts, the tasks' sums are added by Spark, and the driver only re-estimates the model (a
-few MB, whatever the corpus). A word of the class is drawn from the class's own unigram
-distribution, so a text's probability is the exact likelihood of its symbols by the scaled forward
-recursion, times those draws.
-
-Counts of head words come with the first Baum-Welch round. All other words of all documents are
-counted exactly by one shuffle on their fingerprint, which also brings each its count.
+Every training word has an emission probability in every state. Symbols are the most frequent
+training words (the head, at most ``HEAD``), one class for all other words, and the end of a text.
+Baum-Welch runs over every training document: each task sums its expected counts of symbols, the
+tasks' sums are added by Spark, and the driver only re-estimates the head's model (a few MB,
+whatever the corpus). A last expectation step re-estimates the words of the class, whose number
+grows with the corpus: their counts and expected counts by state are summed by a shuffle on their
+fingerprint and stay a distributed table. A state emits such a word with the class's probability
+there, times the word's share of the class, times how much likelier the word is in that state than
+in the class as a whole. These factors sum to one in each state; they are kept in steps of a 16th
+of a doubling, rounded down, so that what a state emits never sums to more than one.
+
+To score, a text's words of the class meet that table by one shuffle, their entries meet the text
+by another, and the scaled forward recursion gives the exact likelihood.
 """
 
 from __future__ import annotations
@@ -17,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosodia.llm.shared import Words, materialize, pieces, sample_rows, sum_arrays
 
 #: Head words at most, latent states, Baum-Welch rounds over all training documents.
 HEAD, STATES, ROUNDS = 32_768, 8, 2
-#: The start is estimated on so many training documents, and so many words of each.
-SAMPLE, SAMPLE_WORDS = 1_500, 20_000
+#: The start is estimated on the symbol counts of so many whole training documents.
+SAMPLE = 1_500
 #: Tokens that go through the recursion together, about.
 BATCH = 1_000_000
 CHUNKS = 32
+#: Each state keeps so much of the common distribution; steps to a doubling of a factor, and the code of 1.
+COMMON, STEPS, ONE = 0.01, 16, 128
 
 
 class Model:
@@ -66,15 +72,18 @@ class Lattice:
         self.begin = np.concatenate([[0], np.cumsum(self.active)])
         doc = np.repeat(np.arange(len(size)), size)
         t = np.arange(len(sym)) - first[doc]
-        to = self.begin[t] + rank[doc]
+        #: where each token, in the order given, went
+        self.place = self.begin[t] + rank[doc]
         self.sym = np.empty_like(sym)
-        self.sym[to] = sym
+        self.sym[self.place] = sym
         self.rank = np.empty(len(sym), dtype=np.int64)
-        self.rank[to] = rank[doc]
+        self.rank[self.place] = rank[doc]
 
-    def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Emissions, scaled forward variables and scales, all by step."""
+    def forward(self, m: Model, at: np.ndarray | None = None, factors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled forward variables and scales, all by step; the tokens ``at`` have their own factors (K each)."""
         e = m.emit[self.sym]
+        if at is not None:
+            e[self.place[at]] *= factors
         alpha, scale = np.empty_like(e), np.empty(len(e), dtype=e.dtype)
         move, last = m.move, None
         for b, n in zip(self.begin.tolist(), self.active.tolist(), strict=False):
@@ -85,16 +94,19 @@ class Lattice:
             last = own
         return e, alpha, scale
 
-    def log10(self, m: Model) -> np.ndarray:
-        """log10 likelihood of each sequence, in the order given."""
-        _, _, scale = self.forward(m)
-        total = np.bincount(self.rank, weights=np.log10(scale.astype(np.float64)), minlength=len(self.order))
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per sequence, in the order given, the sum of what its tokens weigh (by step)."""
         out = np.empty(len(self.order))
-        out[self.order] = total
+        out[self.order] = np.bincount(self.rank, weights=weights, minlength=len(self.order))
         return out
 
-    def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts (K), moves (K, K) and emissions (S, K)."""
+    def log10(self, m: Model, at: np.ndarray | None = None, factors: np.ndarray | None = None) -> np.ndarray:
+        """log10 likelihood of each sequence, in the order given."""
+        _, _, scale = self.forward(m, at, factors)
+        return self.sums(np.log10(scale.astype(np.float64)))
+
+    def posteriors(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token (by step) the probability of each state, and expected moves (K, K)."""
         e, alpha, scale = self.forward(m)
         k = len(m.start)
         moves = np.zeros((k, k))
@@ -114,9 +126,15 @@ class Lattice:
                 beta = np.ones((n, k), dtype=e.dtype)
             e_next = own * beta
             alpha[b : b + n] = e_next  # from here on the posterior of each state
-        emits = np.stack([np.bincount(self.sym, weights=alpha[:, j], minlength=len(m.emit)) for j in range(k)], axis=1)
-        first = alpha[: int(self.active[0])].sum(axis=0) if len(self.active) else np.zeros(k)
-        return first.astype(np.float64), moves * m.move, emits
+        return alpha, moves * m.move
+
+    def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts (K), moves (K, K) and emissions (S, K)."""
+        post, moves = self.posteriors(m)
+        k = len(m.start)
+        emits = np.stack([np.bincount(self.sym, weights=post[:, j], minlength=len(m.emit)) for j in range(k)], axis=1)
+        first = post[: int(self.active[0])].sum(axis=0) if len(self.active) else np.zeros(k)
+        return first.astype(np.float64), moves, emits
 
 
 def _lattices(head: np.ndarray, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[Words], Lattice]]:
@@ -160,33 +178,33 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
 
-def _start(sample: list[np.ndarray], head: np.ndarray, states: int) -> Model:
-    """A mixture of unigrams on the sample, one component a state, with states that tend to stay."""
+def _start(sample: list[tuple[np.ndarray, np.ndarray]], head: np.ndarray, states: int) -> Model:
+    """A mixture of unigrams on the sample's (symbols, counts), one component a state, with states that tend to stay."""
     s = len(head) + 2
     rng = np.random.default_rng(11)
     move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
     emit = np.full((s, states), 1.0) + rng.random((s, states)) * 0.1
-    sample = [x for x in sample if len(x)]
     if sample:
-        flat, size = np.concatenate(sample), np.array([len(x) for x in sample])
+        flat, weight = (np.concatenate(x) for x in zip(*sample, strict=True))
+        size = np.array([len(x) for x, _ in sample])
         begin = np.cumsum(size) - size
         share = np.full(len(sample), -1)
         picks = rng.choice(len(sample), size=min(states, len(sample)), replace=False)
-        base = np.bincount(flat, minlength=s) + 0.01
+        base = np.bincount(flat, weights=weight, minlength=s) + 0.01
         base = base / base.sum()
         emit = np.tile(base[:, None], (1, states))
         for j, d in enumerate(picks):
-            own = np.bincount(sample[d], minlength=s)
+            own = np.bincount(sample[d][0], weights=sample[d][1], minlength=s)
             emit[:, j] = 0.5 * base + 0.5 * own / own.sum()
         for _ in range(20):
-            fit = np.add.reduceat(np.log(emit)[flat], begin, axis=0)
+            fit = np.stack([np.add.reduceat(np.log(emit[:, j])[flat] * weight, begin) for j in range(states)], axis=1)
             near = fit.argmax(axis=1)
             if (near == share).all():
                 break
             share = near
             of = np.repeat(near, size)
             for j in range(states):
-                own = np.bincount(flat[of == j], minlength=s)
+                own = np.bincount(flat[of == j], weights=weight[of == j], minlength=s)
                 emit[:, j] = 0.9 * own / own.sum() + 0.1 * base if own.sum() else base
     return _normal(head, np.ones(states), move, emit)
 
@@ -211,10 +229,12 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             sym, first, _ = symbols(shared_head.value, piece.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([sym[a : min(b, a + SAMPLE_WORDS)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["sym"])
+            each = [np.unique(sym[a:b], return_counts=True) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in each], pa.binary())], names=["counts"])
 
     few = sample_rows(texts, SAMPLE, by="doc_id")
-    model = _start([np.frombuffer(r.sym, dtype=np.int32) for r in few.mapInArrow(sampled, "sym binary").collect()], head, states)
+    each = [np.frombuffer(r.counts, dtype=np.int32).reshape(2, -1) for r in few.mapInArrow(sampled, "counts binary").collect()]  # SAMPLE rows
+    model = _start([(x[0], x[1]) for x in each], head, states)
     counts = np.zeros(len(head) + 2, dtype=np.int64)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model.parts())
@@ -239,70 +259,139 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple
         emits = emits.reshape(s, k)
         # each state keeps some of the common distribution, so that no known symbol is impossible
         base = (counts + 0.5) / (counts + 0.5).sum()
-        emits = emits + base[:, None] * (1.0 + 0.01 * emits.sum(axis=0, keepdims=True))
+        emits = emits + base[:, None] * (1.0 + COMMON * emits.sum(axis=0, keepdims=True))
         model = _normal(head, first + 1.0, moves.reshape(k, k) + 0.1, emits)
     return model, counts
 
 
-def _rows(shared, columns: str):
-    """mapInArrow over (doc_id, row, train, text): scores of the symbols of each text."""
-    names = columns.split()
+def _of_class(lattice: Lattice, words: list[Words], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the class (symbol ``n``), in the order given, and their fingerprints."""
+    sym = lattice.sym[lattice.place]
+    names = np.concatenate([w.hash for w in words])
+    at = np.flatnonzero(sym == n)
+    return at, names[at - np.cumsum(sym == n + 1)[at]]  # each text that ended before holds one token that is no word
+
+
+def _class_counts(shared):
+    """mapInArrow over (text): of each word of the class its count and expected count in each state, by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, counts = shared.value
-        m = Model(*parts)
-        n = len(m.head)
-        # log10(c + 0.5) of head words and the end; the class is added from its own counts
-        value = np.log10(counts + 0.5)
-        value[n] = 0.0
-        known = counts > 0
-        known[n] = False
-        for held, _, lattice in _lattices(m.head, batches, 3):
-            docs = len(lattice.order)
-            by = lambda w: np.bincount(lattice.rank, weights=w, minlength=docs)
-            got = [np.bincount(lattice.rank, minlength=docs), by(known[lattice.sym]), by(value[lattice.sym]), by(lattice.sym == n)]
-            out = [np.empty(docs) for _ in got]
-            for x, g in zip(out, got, strict=True):
-                x[lattice.order] = g
-            score = lattice.log10(m)
-            at = 0
-            for piece in held:
-                own = slice(at, at + piece.num_rows)
-                at += piece.num_rows
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *(pa.array(x[own].astype(np.int64)) for x in (out[0], out[1])), pa.array(out[2][own]), pa.array(out[3][own].astype(np.int64)), pa.array(score[own])], names=names)
+        m = Model(*shared.value)
+        k = len(m.start)
+        for _, words, lattice in _lattices(m.head, batches, 0):
+            at, names = _of_class(lattice, words, len(m.head))
+            post, _ = lattice.posteriors(m)
+            post = post[lattice.place[at]]
+            word, which = np.unique(names, return_inverse=True)
+            by_state = [np.bincount(which, weights=post[:, j], minlength=len(word)) for j in range(k)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.view(np.int64)), pa.array(np.bincount(which, minlength=len(word)).astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in by_state)],
+                names=["word", "n", *(f"s{j}" for j in range(k))],
+            )
 
     return run
 
 
-def _others(shared):
-    """mapInArrow over (doc_id, row, train, text): words outside the head, and one row a text of no word."""
-    names = ["word", "doc_id", "row", "tf", "train_tf", "copies"]
+def _entry(states: int) -> np.dtype:
+    """A word of the class as it travels: its count is below that of every head word, so it fits 32 bits."""
+    return np.dtype([("word", "<u8"), ("n", "<u4"), ("code", "u1", (states,))])
+
+
+def class_factors(n: np.ndarray, by_state: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Codes of how much likelier each word is in each state than in the class; share: the class's words by state."""
+    share = np.maximum(share, 1e-9)
+    factor = (by_state + 0.5 * share) / ((n + 0.5)[:, None] * share)
+    factor = (1 - COMMON) * factor + COMMON
+    return np.clip(np.floor(np.log2(factor) * STEPS) + ONE, 0, 255).astype(np.uint8)
+
+
+def _entries(share: np.ndarray):
+    """mapInArrow over (word, n, s0, ...): each word with its entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        for batch in batches:
+            word, n, *by_state = (c.to_numpy() for c in batch.columns)
+            out = np.empty(len(word), dtype=_entry(len(share)))
+            out["word"], out["n"] = word.view(np.uint64), n
+            out["code"] = class_factors(n, np.stack(by_state, axis=1), share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], names=["word", "entry"])
+
+    return run
+
+
+def _class_words(shared):
+    """mapInArrow over (key, text): the distinct words of the class in each text; a task looks at equal texts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, seen = shared.value, set()
         for piece in pieces(batches):
-            words = Words(piece.column(3), lower=True)
-            rows = piece.num_rows
+            keys = piece.column(0).to_pylist()
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            if not new:
+                continue
+            piece = piece.take(pa.array(new))
+            words = Words(piece.column(1), lower=True)
             at = np.minimum(np.searchsorted(head, words.hash), max(len(head) - 1, 0))
             rare = np.flatnonzero(head[at] != words.hash) if len(head) else np.arange(len(words.hash))
-            doc = np.searchsorted(words.first, rare, side="right") - 1
-            order = np.lexsort((words.hash[rare], doc))
-            h, d = words.hash[rare][order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(h)))
-            h, d = h[first], d[first]
-            train = piece.column(2).to_numpy(zero_copy_only=False)[d]
-            zeros = np.zeros(rows, dtype=np.int32)
-            own = piece.column(1).to_numpy()
-            words_col = np.concatenate([h.view(np.int64), own])
-            take = pa.array(np.concatenate([d, np.arange(rows)]))
-            tf32 = tf.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words_col), piece.column(0).take(take), piece.column(1).take(take), pa.array(np.concatenate([tf32, zeros])), pa.array(np.concatenate([tf32 * train, zeros]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(h), dtype=np.int32), zeros + 1]))],
-                names=names,
-            )
+            names, doc = words.hash[rare], np.searchsorted(words.first, rare, side="right") - 1
+            order = np.lexsort((names, doc))
+            names, doc = names[order], doc[order]
+            first = np.ones(len(names), dtype=bool)
+            first[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names[first].view(np.int64)), piece.column(0).take(pa.array(doc[first]))], names=["word", "key"])
+
+    return run
+
+
+def _table(lists: list[pa.Array], kind: np.dtype) -> np.ndarray:
+    """The distinct entries in lists of them, by word; a word has the same entry in every text."""
+    found = []
+    for each in lists:
+        flat = each.flatten().cast(pa.large_binary())
+        if len(flat):
+            ends = np.frombuffer(flat.buffers()[1], dtype=np.int64)[flat.offset : flat.offset + len(flat) + 1]
+            found.append(np.frombuffer(flat.buffers()[2], dtype=kind, count=len(flat), offset=int(ends[0])))
+    if not found:
+        return np.zeros(0, dtype=kind)
+    table = np.concatenate(found)
+    _, first = np.unique(table["word"], return_index=True)
+    return table[first]
+
+
+def _scores(shared):
+    """mapInArrow over (doc_id, train, text, entries): the counts and both scores of each text."""
+    names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, counts, norm, class_norm = shared.value
+        m = Model(*parts)
+        n, k = len(m.head), len(m.start)
+        # log10(c + 0.5) of head words and the end; words of the class have their own
+        value, known = np.log10(counts + 0.5), counts > 0
+        value[n], known[n] = 0.0, False
+        power = (2.0 ** ((np.arange(256) - ONE) / STEPS)).astype(np.float32)
+        for held, words, lattice in _lattices(m.head, batches, 2):
+            table = _table([p.column(3) for p in held], _entry(k))
+            at, own = _of_class(lattice, words, n)
+            count, factor = np.zeros(len(at), dtype=np.int64), np.ones((len(at), k), dtype=np.float32)
+            if len(table):
+                place = np.minimum(np.searchsorted(table["word"], own), len(table) - 1)
+                hit = table["word"][place] == own
+                count[hit] = table["n"][place[hit]]
+                factor[hit] = power[table["code"][place[hit]]]
+            log_c, is_known, drawn = value[lattice.sym], known[lattice.sym].astype(np.float64), np.zeros(len(lattice.sym))
+            to = lattice.place[at]
+            log_c[to], is_known[to] = np.log10(count + 0.5), count > 0
+            drawn[to] = log_c[to] - class_norm
+            size = lattice.sums(np.ones(len(lattice.sym)))
+            score = lattice.log10(m, at, factor) + lattice.sums(drawn)
+            base = lattice.sums(log_c) - size * norm
+            n_known = lattice.sums(is_known)
+            begin = 0
+            for piece in held:
+                part = slice(begin, begin + piece.num_rows)
+                begin += piece.num_rows
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(size[part].astype(np.int64)), pa.array(n_known[part].astype(np.int64)), pa.array(base[part]), pa.array(score[part])], names=names)
 
     return run
 
@@ -313,43 +402,30 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end; null text is empty. The model and all
     counts come from the rows that aren't held out. base_score: the sum of log10((c + 0.5) / (N + 0.5 *
     (V + 1))). score: log10 probability under the hidden Markov model; words that training did not
-    see share the class's smallest weight. Rows equal in doc_id and text get equal answers; without
-    training rows all counts are 0; an empty table gives no rows.
+    see share the class's smallest weight. Rows of equal text get equal answers; null ids are rows
+    like others; without training rows all counts are 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    own = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("row"), (~held_out).alias("train"), "text")
-    model, counts = train(own.filter("train").select("doc_id", "text"), states, rounds)
-    shared = spark.sparkContext.broadcast((model.parts(), counts))
-    columns = "doc_id row train n_tokens n_head head_value n_others symbol_score"
-    rows = own.mapInArrow(_rows(shared, columns), "doc_id long, row long, train boolean, n_tokens long, n_head long, head_value double, n_others long, symbol_score double")
-
-    rare = own.mapInArrow(_others(spark.sparkContext.broadcast(model.head)), "word long, doc_id long, row long, tf int, train_tf int, copies int")
-    by_word = Window.partitionBy("word")
-    rare = rare.withColumn("c", F.sum("train_tf").over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy(F.desc("tf"))))
-    weight = F.log10(F.col("c") + 0.5)
-    found = rare.groupBy("doc_id", "row").agg(
-        F.sum(F.col("tf") * weight).alias("value"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum("copies").alias("copies"),
-        F.sum(F.when((F.col("c") > 0) & (F.col("nth") == 1), 1).otherwise(0)).alias("types"),
-        F.sum(F.when(F.col("nth") == 1, F.col("c")).otherwise(0)).alias("uses"),
-    )
-    found = materialize(found, "rare")
-    totals = found.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")).first()
-    n = len(model.head)
+    # a text without words meets nothing, so its key only spreads it
+    key = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
+    own = docs.select("doc_id", (~held_out).alias("train"), key.alias("key"), "text")
+    learnt = own.filter("train")
+    model, counts = train(learnt.select("doc_id", "text"), states, rounds)
+    names = [f"s{j}" for j in range(states)]
+    gathered = learnt.select("text").mapInArrow(_class_counts(spark.sparkContext.broadcast(model.parts())), "word long, n long, " + ", ".join(f"{c} float" for c in names))
+    by_word = materialize(gathered.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(c).cast("float").alias(c) for c in names]), "class")
+    totals = by_word.agg(F.count("n").alias("types"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *names]]).first()
+    share = np.array([totals[c] for c in names], dtype=np.float64) / max(totals.n, 1)
+    found = own.select("key", "text").mapInArrow(_class_words(spark.sparkContext.broadcast(model.head)), "word long, key long")
+    found = found.join(by_word.mapInArrow(_entries(share), "word long, entry binary"), "word").groupBy("key").agg(F.collect_list("entry").alias("entries"))
+
     train_tokens = int(counts.sum())
-    types = int(totals.types) + int((np.delete(counts, n) > 0).sum())
+    types = totals.types + int((np.delete(counts, len(model.head)) > 0).sum())
     norm = float(np.log10(train_tokens + 0.5 * (types + 1)))
     # the class: its training words with c + 0.5, and 0.5 for any word not seen
-    class_norm = float(np.log10(int(totals.uses) + 0.5 * (int(totals.types) + 1)))
-    right = found.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), (F.col("value") / F.col("copies")).alias("value"), (F.col("known") / F.col("copies")).cast("long").alias("known"))
-    out = materialize(rows, "symbols").join(right, (F.col("doc_id") == F.col("__d")) & (F.col("row") == F.col("__r")))
-    return out.select(
-        F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"),
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_head") + F.col("known")).alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_value") + F.col("value") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("symbol_score") + F.col("value") - F.col("n_others") * class_norm).alias("score"),
-    )
+    class_norm = float(np.log10(totals.n + 0.5 * (totals.types + 1)))
+    shared = spark.sparkContext.broadcast((model.parts(), counts, norm, class_norm))
+    rows = own.join(found, "key", "left").select("doc_id", "train", "text", "entries")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(_scores(shared), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -252,7 +252,9 @@ def test_walk_stops_at_the_sum_that_holds_enough():
         assert ann.walk(a, b, cells, held, int(held.sum()) + 1) == -math.inf
 
 
-def test_language_model(spark, talk):
+@pytest.mark.parametrize("head", [hmm.HEAD, 6])
+def test_language_model(spark, talk, head, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", head)  # with a small head most words go through the class's table
     held_out = langid.fold(F.col("doc_id")) == 1
     rows = hmm.score(talk, held_out, states=3).collect()
     assert len(rows) == talk.count()
@@ -264,6 +266,9 @@ def test_language_model(spark, talk):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == want
     long = [r for r in rows if r.n_tokens > 5 and r.n_tokens < 100]
     assert sum(r.score for r in long) > sum(r.base_score for r in long) and all(r.score < 0 for r in rows)
+    # the states tell the two languages apart in texts that training did not see, whether words are head or class
+    unseen = [r for r in long if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert len(unseen) > 20 and sum(r.score - r.base_score for r in unseen) > 0.2 * sum(r.n_tokens for r in unseen)
     assert hmm.score(talk.filter("doc_id = -1"), held_out).collect() == []
     assert hmm.score(talk.filter("doc_id in (0, 1)"), F.lit(True)).first().train_tokens == 0
 
@@ -296,5 +301,33 @@ def test_forward_and_counts_against_all_paths():
         for mine, a in zip((starts, moves, emits), acc, strict=True):
             mine += a / p_all
     assert np.allclose(lattice.log10(m), total)
+    at, factors = np.array([0, 4]), rng.random((2, k)) + 0.5
+    own = {0: factors[0], 4: factors[1]}
+    begin = first[:-1].tolist()
+    want = []
+    for q, b in zip(seqs, begin, strict=True):
+        p_all = 0.0
+        for path in product(range(k), repeat=len(q)):
+            p = 1.0
+            for t, (z, x) in enumerate(zip(path, q, strict=True)):
+                p *= (m.start[z] if t == 0 else m.move[path[t - 1], z]) * m.emit[x, z] * (own[b + t][z] if b + t in own else 1.0)
+            p_all += p
+        want.append(math.log10(p_all))
+    assert np.allclose(lattice.log10(m, at, factors), want)
     for got, want in zip(lattice.expected(m), (starts, moves, emits), strict=True):
         assert np.allclose(got, want)
+
+
+def test_class_words_sum_to_one_in_each_state():
+    rng = np.random.default_rng(3)
+    n = rng.geometric(0.2, 5000)
+    by_state = rng.dirichlet(np.full(4, 0.3), 5000) * n[:, None]
+    share = by_state.sum(axis=0) / n.sum()
+    p = (n + 0.5) / (n.sum() + 0.5 * (len(n) + 1))
+    codes = hmm.class_factors(n, by_state, share)
+    exact = 0.99 * (by_state + 0.5 * share) / ((n + 0.5)[:, None] * share) + 0.01
+    unseen = 0.5 / (n.sum() + 0.5 * (len(n) + 1))
+    assert np.allclose((p[:, None] * exact).sum(axis=0) + unseen, 1.0)
+    kept = 2.0 ** ((codes.astype(float) - hmm.ONE) / hmm.STEPS)
+    assert (kept <= exact * 1.0001).all() and (kept * 2 ** (1 / hmm.STEPS) >= exact * 0.9999).all()
+    assert ((p[:, None] * kept).sum(axis=0) + unseen > 0.95).all()
