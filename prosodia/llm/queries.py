@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosodia.llm import ann, decontaminate, hilbert, hmm, langid, mixing, ngram_join, substring, token_ids, toxicity
+from prosodia.llm import ann, decontaminate, hilbert, hmm, langid, mixing, ngram_join, substring, token_ids, toxicity, va_file
 from prosodia.llm.sql import ORACLES
 
 
@@ -71,6 +71,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"), held_out=langid.fold(F.col("doc_id")) == 1)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return va_file.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_multi_index": op9_multi_index,
         "op10_hmm": op10_hmm,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
