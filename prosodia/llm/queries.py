@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosodia.llm import ann, decontaminate, hilbert, hmm, langid, mixing, ngram_join, substring, token_ids, toxicity, va_file
+from prosodia.llm import ann, decontaminate, guess_cost, hilbert, hmm, langid, mixing, ngram_join, prefix_trie, substring, token_ids, toxicity, va_file
 from prosodia.llm.sql import ORACLES
 
 
@@ -76,6 +76,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    own = prefix_trie.turns(_table(spark, sf_dir, "conversations"))
+    convs, rows = prefix_trie.grafted(own, base=conv - conv % 100, head=F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(6)))
+    return prefix_trie.trie(convs, rows)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return guess_cost.secrets(docs, guess_cost.lexicon(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -89,6 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_multi_index": op9_multi_index,
         "op10_hmm": op10_hmm,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_secrets": op13_secrets,
     }
 
 

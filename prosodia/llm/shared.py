@@ -171,6 +171,13 @@ def ascii_letters_apart() -> np.ndarray:
     return apart
 
 
+def letters_table() -> np.ndarray:
+    """A table for Words: every ASCII byte but letters parts words."""
+    apart = np.arange(256) < 128
+    apart[[*range(65, 91), *range(97, 123)]] = False
+    return apart
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and the n + 1 offsets between them; null is empty."""
     if texts.null_count:
@@ -219,6 +226,36 @@ def sum_arrays(parts: DataFrame, dtype: str, out: str | None = None) -> dict[int
     return {r.chunk: np.frombuffer(r.counts, dtype=out or wide) for r in once.groupBy("chunk").applyInArrow(last, "chunk int, counts binary").collect()}
 
 
+def word_counts(texts: DataFrame, apart: np.ndarray = _SPACE, shortest: int = 1, longest: int = 1 << 30) -> DataFrame:
+    """word (fingerprint, A-Z lower-cased), n: exact counts of the words of (text) rows with so many bytes.
+
+    Each piece of a task counts its own words before Spark adds them up, so a word that a third of all tokens
+    share is one row a piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text="text", most=8 << 20):
+            words = Words(piece.column(0), lower=True, apart=apart)
+            size = words.end - words.begin
+            name, n = np.unique(words.hash[(size >= shortest) & (size <= longest)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words (ascending) and counts of all that reach the least level of counts at which no more than ``most`` do.
+
+    Levels are eighths of a doubling, so the choice depends on exact counts alone, however rows lie.
+    """
+    counts = materialize(counts.select("word", "n"), "words")
+    level = F.floor(F.log2("n") * 8)
+    levels = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)  # a few hundred rows
+    reach = [v for (v, _), upto in zip(levels, np.cumsum([c for _, c in levels]), strict=True) if upto <= most]
+    top = sorted((r.word % (1 << 64), r.n) for r in counts.filter(level >= reach[-1]).collect()) if reach else []  # ``most`` rows
+    return np.array([w for w, _ in top], dtype=np.uint64), np.array([n for _, n in top], dtype=np.int64)
+
+
 def sample_rows(df: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """At most ``n`` rows, those with the least hash of ``by`` (of all columns by default); all rows if there are no more.
 

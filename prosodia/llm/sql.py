@@ -104,4 +104,44 @@ WITH e AS (
 SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3
 """
 
-ORACLES = {"op4_ngram_jaccard": OP4, "op5_substring_dedup": OP5, "op8_mixing": OP8, "op11_hard_negatives": OP11}
+#: The crc32 of a decimal number, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))), lambda crc, byte:
+  list_reduce(list_concat([xor(crc, byte)], range(8)), lambda c, n: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)))"""
+
+OP12 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS own, conv_id - conv_id % 100 AS base, CRC % 6 AS h FROM t GROUP BY conv_id
+), plan AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base
+), r AS (
+  SELECT p.conv_id, t.pos - p.h + p.k AS pos, role, text FROM plan p JOIN t ON t.conv_id = p.conv_id AND t.pos > p.h
+  UNION ALL SELECT p.conv_id, t.pos, role, text FROM plan p JOIN t ON t.conv_id = p.base AND t.pos <= p.k
+), seq AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS s FROM r GROUP BY conv_id
+  UNION ALL SELECT conv_id, [] FROM plan WHERE conv_id NOT IN (SELECT conv_id FROM r)
+), m AS (
+  SELECT conv_id, len(s) AS size, d AS depth, s[1:d] AS path, CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS chars FROM seq, unnest(range(0, len(s) + 1)) AS u(d)
+), mem AS (
+  SELECT conv_id, size, depth, chars, min(conv_id) OVER (PARTITION BY depth, path) AS node FROM m
+), node AS (
+  SELECT node, depth, count(*) AS n_convs, max(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth) AS ends FROM mem GROUP BY node, depth
+), edge AS (
+  SELECT n.*, p.node AS parent FROM node n LEFT JOIN mem p ON p.conv_id = n.node AND p.depth = n.depth - 1
+), child AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM edge WHERE parent IS NOT NULL GROUP BY 1, 2
+), own AS (
+  SELECT e.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM edge e LEFT JOIN child c ON c.node = e.node AND c.depth = e.depth
+), sums AS (
+  SELECT a.node, a.depth, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(o.saved) AS saved
+  FROM own o JOIN mem a ON a.conv_id = o.node AND a.depth <= o.depth GROUP BY 1, 2
+)
+SELECT o.node AS conv_id, CAST(o.depth AS BIGINT) AS depth, o.parent AS parent_conv_id, CAST(o.n_convs AS BIGINT) AS n_convs, CAST(o.n_children AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own o JOIN sums s ON s.node = o.node AND s.depth = o.depth
+""".replace("CRC", CRC)
+
+ORACLES = {"op4_ngram_jaccard": OP4, "op5_substring_dedup": OP5, "op8_mixing": OP8, "op11_hard_negatives": OP11, "op12_prefix_trie": OP12}
