@@ -1,8 +1,8 @@
 """Selection, fusion and matching of events in one recording.
 
 Greedy rules depend on what was kept before, so they fold over one recording's ordered array of
-events inside the JVM (``aggregate``); matching and clustering run as grouped Arrow functions.
-Recordings are the unit of parallelism and hold thousands of events, not millions.
+events inside the JVM (``aggregate``). Matching cuts recordings into runs that no pair can cross and
+works run by run; clustering runs as a grouped function.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosodia.operators import ordered
 from prosodia.operators.intervals import range_join
 
 
@@ -69,32 +70,51 @@ def combined(first: DataFrame, second: DataFrame, strategy: str, key: str, event
 def match(predicted: list[float], reference: list[float], tolerance: float) -> list[tuple[int, int]]:
     """One-to-one pairs within tolerance: as many as possible, then the least total distance.
 
-    Both lists ascend. Dynamic programming over suffixes of the bands that can meet: state (i, j) holds the
-    best (pairs, -error) of predicted[i:] and reference[j:]. Of equal states skipping a prediction comes before skipping
-    a reference before pairing; another choice must gain a pair or save more than 1e-12.
+    Both lists ascend. State (i, j) holds the best (pairs, error) of the first i predictions and j references. Of equal
+    states skipping a prediction comes before skipping a reference before pairing; another choice must
+    gain a pair or save more than 1e-12. Only references within tolerance of a prediction have states of its row: left of them
+    the row above holds, right of them the last state; time and memory grow with the pairs within tolerance.
     """
-    n, m = len(predicted), len(reference)
-    pairs = np.zeros((n + 1, m + 1), dtype=np.int64)
-    error = np.zeros((n + 1, m + 1))
-    step = np.zeros((n + 1, m + 1), dtype=np.int8)
-    better = lambda a, b: a[0] > b[0] or (a[0] == b[0] and a[1] < b[1] - 1e-12)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best, how = (pairs[i + 1, j], error[i + 1, j]), 0
-            other = (pairs[i, j + 1], error[i, j + 1])
-            if better(other, best):
-                best, how = other, 1
-            gap = abs(predicted[i] - reference[j])
-            if gap <= tolerance and better((pairs[i + 1, j + 1] + 1, error[i + 1, j + 1] + gap), best):
-                best, how = (pairs[i + 1, j + 1] + 1, error[i + 1, j + 1] + gap), 2
-            pairs[i, j], error[i, j], step[i, j] = *best, how
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        how = step[i, j]
-        if how == 2:
-            out.append((i, j))
-        i, j = i + (how != 1), j + (how != 0)
-    return out
+    m = len(reference)
+    low = high = start = 0
+    above, above_end = [(0, 0.0)], (0, 0.0)  # states of the row above from ``start`` on
+    rows: list[tuple[int, int, bytearray, bool]] = []
+    for p in predicted:
+        while low < m and p - reference[low] > tolerance:
+            low += 1
+        high = max(high, low)
+        while high < m and reference[high] - p <= tolerance:
+            high += 1
+        at = lambda j, above=above, start=start, end=above_end: above[j - start] if j - start < len(above) else end
+        best = at(low)
+        row, steps, diagonal = [best], bytearray(high - low), best
+        for j in range(low + 1, high + 1):
+            left, best, how = best, at(j), 1
+            straight = best
+            if left[0] > best[0] or (left[0] == best[0] and left[1] < best[1] - 1e-12):
+                best, how = left, 2
+            pairs, error = diagonal[0] + 1, diagonal[1] + abs(p - reference[j - 1])
+            if pairs > best[0] or (pairs == best[0] and error < best[1] - 1e-12):
+                best, how = (pairs, error), 3
+            row.append(best)
+            steps[j - low - 1] = how
+            diagonal = straight
+        gained = best[0] > above_end[0] or (best[0] == above_end[0] and best[1] < above_end[1] - 1e-12)
+        rows.append((low, high, steps, gained))
+        above, above_end, start = row, best, low
+    out, i, j = [], len(predicted), m
+    while i and j:
+        low, high, steps, gained = rows[i - 1]
+        if j > high:
+            i, j = (i, high) if gained else (i - 1, j)
+        elif j <= low:
+            i -= 1
+        else:
+            how = steps[j - low - 1]
+            if how == 3:
+                out.append((i - 1, j - 1))
+            i, j = i - (how != 2), j - (how != 1)
+    return out[::-1]
 
 
 def match_count(predicted: list[float], reference: list[float], tolerance: float) -> int:
@@ -118,24 +138,63 @@ def _sides(predicted: DataFrame, reference: DataFrame, key: str, t: str) -> Data
     return p.join(r, key, "full").select(key, F.coalesce("p", none).alias("p"), F.coalesce("r", none).alias("r"))
 
 
-def match_events(predicted: DataFrame, reference: DataFrame, key: str, t: str, tolerance: float) -> DataFrame:
-    """Per recording: tp, fp, fn, timing_median, and the matched pairs and unmatched times of both sides.
+def matched(predicted: DataFrame, reference: DataFrame, key: str, t: str, tolerance: float, event_id: str | None = None) -> DataFrame:
+    """key, predicted, reference (times), with event_id also predicted_id and reference_id: a row a pair or unmatched event.
 
-    timing_median is null without a pair. Unmatched times are listed by position, so repeated times stay apart.
+    Recordings are cut wherever no pair can cross: where both gaps between the sides exceed the tolerance. Each
+    run is matched on its own, so a recording of any length spreads, and a run costs what its pairs within
+    tolerance cost. Of unmatched events the other side is null. Rows without a key or time are left out.
     """
-
-    @F.pandas_udf("tp long, fp long, fn long, timing_median double, pairs array<array<double>>, missed array<double>, extra array<double>")
-    def run(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = []
+    side = lambda df, n: df.filter(F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))).select(key, F.col(t).cast("double").alias("__t"), F.lit(n).alias("__side"), (F.col(event_id) if event_id else F.lit(None)).cast("long").alias("__id"))
+    both = side(predicted, 0).unionByName(side(reference, 1))
+    of = lambda n: F.when(F.col("__side") == n, F.col("__t"))
+    order = ["__t", "__side", "__id"]
+    near = ordered.carried(both, key, order, {"__lp": of(0), "__lr": of(1)}, {"__np": of(0), "__nr": of(1)})
+    apart = lambda later, earlier: F.coalesce(F.col(later) - F.col(earlier) > tolerance, F.lit(True))
+    cut = ordered.runs(near.withColumn("__cut", apart("__nr", "__lp") & apart("__np", "__lr")), key, "__t", order, F.col("__cut"), "__run")
+    event = F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))
+    lists = cut.groupBy(key, "__run").agg(*[F.array_sort(F.collect_list(F.when(F.col("__side") == n, event))).alias(c) for n, c in ((0, "p"), (1, "r"))])
+
+    @F.pandas_udf("array<struct<predicted:double,reference:double,predicted_id:long,reference_id:long>>")
+    def run(p: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
         for a, b in zip(p, r, strict=True):
-            a, b = list(map(float, a)), list(map(float, b))
-            found = match(a, b, tolerance)
+            found = match([x["t"] for x in a], [x["t"] for x in b], tolerance) if len(a) and len(b) else []
             pi, ri = {i for i, _ in found}, {j for _, j in found}
-            gaps = [abs(a[i] - b[j]) for i, j in found]
-            rows.append((len(found), len(a) - len(found), len(b) - len(found), float(np.median(gaps)) if gaps else None, [[a[i], b[j]] for i, j in found], [x for j, x in enumerate(b) if j not in ri], [x for i, x in enumerate(a) if i not in pi]))
-        return pd.DataFrame(rows, columns=["tp", "fp", "fn", "timing_median", "pairs", "missed", "extra"])
+            one = [(a[i]["t"], b[j]["t"], a[i]["id"], b[j]["id"]) for i, j in found]
+            one += [(x["t"], None, x["id"], None) for i, x in enumerate(a) if i not in pi]
+            one += [(None, x["t"], None, x["id"]) for j, x in enumerate(b) if j not in ri]
+            out.append([dict(zip(("predicted", "reference", "predicted_id", "reference_id"), x, strict=True)) for x in one])
+        return pd.Series(out)
+
+    rows = lists.select(key, F.explode(run("p", "r")).alias("m"))
+    return rows.select(key, *[f"m.{c}" for c in ("predicted", "reference", *(("predicted_id", "reference_id") if event_id else ()))])
 
-    return _sides(predicted, reference, key, t).select(key, run("p", "r").alias("m")).select(key, "m.*")
+
+def match_events(predicted: DataFrame, reference: DataFrame, key: str, t: str, tolerance: float) -> DataFrame:
+    """Per recording: tp, fp, fn, timing_median, and the matched pairs and unmatched times of both sides.
+
+    timing_median is null without a pair. Unmatched times are listed by position, so repeated times stay apart.
+    """
+    p, r = F.col("predicted"), F.col("reference")
+    count = lambda c: F.count_if(c)
+    gathered = lambda c, x: F.array_sort(F.collect_list(F.when(c, x)))
+    return matched(predicted, reference, key, t, tolerance).groupBy(key).agg(
+        count(p.isNotNull() & r.isNotNull()).alias("tp"),
+        count(r.isNull()).alias("fp"),
+        count(p.isNull()).alias("fn"),
+        F.median(F.abs(p - r)).alias("timing_median"),
+        gathered(p.isNotNull() & r.isNotNull(), F.array(p, r)).alias("pairs"),
+        gathered(p.isNull(), r).alias("missed"),
+        gathered(r.isNull(), p).alias("extra"),
+    )
+
+
+def match_labels(candidates: DataFrame, reference: DataFrame, key: str, event_id: str, t: str, tolerance: float) -> DataFrame:
+    """key, event_id, t, label: 1 for candidates that the matching pairs with a reference event."""
+    ref = reference.select(key, t, F.lit(None).cast("long").alias(event_id))
+    out = matched(candidates, ref, key, t, tolerance, event_id).filter("predicted is not null")
+    return out.select(key, F.col("predicted_id").alias(event_id), F.col("predicted").alias(t), F.col("reference").isNotNull().cast("int").alias("label"))
 
 
 def match_counts(predicted: DataFrame, reference: DataFrame, key: str, t: str, tolerance: float) -> DataFrame:
