@@ -353,6 +353,16 @@ BANDS = ((60, 370), (370, 800), (800, 1400), (1400, 2250), (2250, 3450), (3450,
 BAND_WEIGHTS = (0.20, 0.95, 1.00, 0.62, 0.18, -0.08, -0.12)
 PEAK_DISTANCE, WEAK_VOWEL, WEAK_PERIODICITY = 0.035, 0.52, 0.32
 
+# What each sum of evidence in a frame weighs ("one" is the constant).
+EVIDENCE = {
+    "voicing": {"voiced": 0.35},
+    "texture": {"calm": 0.1925, "tonal": 0.1575},
+    "sonorant": {"low": 1.4, "first": -1.4, "one": -0.91},
+    "vowel": {"mid": 0.62, "high": -0.28, "periodic": 1.15, "calm": 0.38, "tonal": 0.30, "sonorant": -0.50, "one": -0.46},
+    "envelope": {"sonority": 1.0, "periodic": 0.42, "vowel": 0.30, "rise": -0.12, "one": -0.36},
+    "likelihood": {"height": 1.15, "vowel": 1.00, "periodic": 0.65, "one": -0.825},
+}
+
 
 def robust_z(v: np.ndarray, mask: np.ndarray) -> np.ndarray:
     own = v[mask] if mask.any() else v
@@ -386,16 +396,22 @@ def tracks(x: np.ndarray, rate: int, s: Settings) -> dict[str, np.ndarray]:
     mag = np.sqrt(power)
     mag = mag / (mag.sum(axis=1, keepdims=True) + 1e-12)
     flux = robust_z(np.concatenate([[0.0], np.linalg.norm(np.diff(mag, axis=0), axis=1)]), speech)
-    f0, periodic = pitch(x, rate)
-    n = min(len(level), len(power), len(periodic))
-    periodic = np.maximum(periodic[:n], 0.35 * (0.55 * zcr[:n] + 0.45 * flat[:n]))
-    mid, high = z[1:4, :n].mean(axis=0), z[4:7, :n].mean(axis=0)
-    sonorant = sigmoid(1.4 * (z[0, :n] - z[1:3, :n].mean(axis=0) - 0.65))
-    vowel = sigmoid(0.62 * mid - 0.28 * high + 1.15 * (periodic - 0.40) + 0.38 * zcr[:n] + 0.30 * flat[:n] - 0.50 * sonorant)
+    from prosodia.functions.pitch import track
+
+    f0, voiced, chance = track(x, rate)
+    n = min(len(level), len(power), len(f0))
     speech = speech[:n]
-    envelope = gaussian(sonority[:n] + 0.42 * (periodic - 0.5) + 0.30 * (vowel - 0.5) - 0.12 * np.maximum(flux[:n], 0), max(0.5, s.smoothing_seconds / HOP))
+    # the terms that the sums of EVIDENCE weigh, in the order in which one needs another
+    term = {"one": np.ones(n), "voiced": voiced[:n].astype(float), "low": z[0, :n], "first": z[1:3, :n].mean(axis=0), "mid": z[1:4, :n].mean(axis=0), "high": z[4:7, :n].mean(axis=0), "calm": zcr[:n], "tonal": flat[:n], "sonority": sonority[:n], "rise": np.maximum(flux[:n], 0)}
+    total = lambda name: sum(w * term[k] for k, w in EVIDENCE[name].items())
+    term["periodic"] = np.clip(np.maximum.reduce([chance[:n], total("voicing"), total("texture")]), 0.0, 1.0)
+    term["sonorant"] = sigmoid(total("sonorant"))
+    term["vowel"] = sigmoid(total("vowel"))
+    envelope = gaussian(total("envelope"), max(0.5, s.smoothing_seconds / HOP))
     envelope = np.where(speech, envelope, (envelope[speech].min() if speech.any() else envelope.min()) - 2)
-    likelihood = np.where(speech, sigmoid(1.15 * robust_z(envelope, speech) + 1.00 * (vowel - 0.5) + 0.65 * (periodic - 0.5)), 0.0)
+    term["height"] = robust_z(envelope, speech)
+    likelihood = np.where(speech, sigmoid(total("likelihood")), 0.0)
+    periodic, vowel, sonorant = term["periodic"], term["vowel"], term["sonorant"]
     return {"envelope": envelope, "likelihood": likelihood, "periodicity": periodic, "vowel": vowel, "sonorant": sonorant, "flux": sigmoid(1 - flux[:n]), "speech": speech, "bands": bands[:, :n], "f0": f0[:n], "mfcc": mfcc(power, rate)[:n]}
 
 

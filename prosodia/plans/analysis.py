@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosodia.functions import signal, text
+from prosodia.functions import pitch, signal, text
 from prosodia.operators import align, intervals, records, stats, windows
 from prosodia.sources.files import RATE
 
@@ -60,7 +60,7 @@ def word_syllables(words: DataFrame, waveforms: DataFrame) -> DataFrame:
             rows = []
             for rec, listed_words, samples in pdf.itertuples(index=False):
                 x = np.asarray(samples)
-                f0, _ = signal.pitch(x, RATE)
+                f0, _, _ = pitch.track(x, RATE)
                 times = np.arange(len(f0)) * signal.HOP
                 for w in listed_words:
                     part = x[int(w["start"] * RATE) : int(w["end"] * RATE)]
