@@ -11,8 +11,9 @@ there, times the word's share of the class, times how much likelier the word is
 in the class as a whole. These factors sum to one in each state; they are kept in steps of a 16th
 of a doubling, rounded down, so that what a state emits never sums to more than one.
 
-To score, a text's words of the class meet that table by one shuffle, their entries meet the text
-by another, and the scaled forward recursion gives the exact likelihood.
+To score, each distinct text's words of the class meet that table by one shuffle, their entries meet the
+text by another, and the scaled forward recursion gives the exact likelihood. Sums are of whole parts of one,
+so that scores don't depend on how rows lie in partitions.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import Words, materialize, pieces, sample_rows, sum_arrays
+from prosodia.llm.shared import Words, frequent_words, materialize, pieces, sample_rows, sum_arrays, word_counts
 
 #: Head words at most, latent states, Baum-Welch rounds over all training documents.
 HEAD, STATES, ROUNDS = 32_768, 8, 2
@@ -35,6 +36,9 @@ BATCH = 1_000_000
 CHUNKS = 32
 #: Each state keeps so much of the common distribution; steps to a doubling of a factor, and the code of 1.
 COMMON, STEPS, ONE = 0.01, 16, 128
+#: Expected counts are whole numbers of these parts of one, for head words and for words of the class, so that no
+#: order of rows, batches or tasks changes a sum; probabilities of moves are kept to so many decimals.
+FINE, COARSE, DECIMALS = 1 << 24, 1 << 12, 7
 
 
 class Model:
@@ -132,9 +136,10 @@ class Lattice:
         """Expected starts (K), moves (K, K) and emissions (S, K)."""
         post, moves = self.posteriors(m)
         k = len(m.start)
+        post = np.rint(post * FINE) / FINE
         emits = np.stack([np.bincount(self.sym, weights=post[:, j], minlength=len(m.emit)) for j in range(k)], axis=1)
         first = post[: int(self.active[0])].sum(axis=0) if len(self.active) else np.zeros(k)
-        return first.astype(np.float64), moves, emits
+        return first, moves, emits
 
 
 def _lattices(head: np.ndarray, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[Words], Lattice]]:
@@ -152,32 +157,6 @@ def _lattices(head: np.ndarray, batches: Iterator[pa.RecordBatch], column: int)
         yield [p for p, _ in held], [w for _, w in held], Lattice(np.concatenate(syms), np.concatenate(firsts))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The HEAD most frequent words of a task, with their counts there."""
-    names, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merge() -> None:
-        nonlocal names, counts
-        both = np.concatenate([names, *(a for a, _ in held)])
-        names, which = np.unique(both, return_inverse=True)
-        counts = np.bincount(which, weights=np.concatenate([counts, *(b for _, b in held)]), minlength=len(names)).astype(np.int64)
-        held.clear()
-        if len(names) > 32 * HEAD:
-            top = np.argpartition(-counts, 8 * HEAD)[: 8 * HEAD]
-            names, counts = names[top], counts[top]
-
-    for piece in pieces(batches, text="text"):
-        held.append(np.unique(Words(piece.column(0), lower=True).hash, return_counts=True))
-        if len(held) == 8:
-            merge()
-    merge()
-    if len(names) > HEAD:
-        top = np.argpartition(-counts, HEAD)[:HEAD]
-        names, counts = names[top], counts[top]
-    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["word", "n"])
-
-
 def _start(sample: list[tuple[np.ndarray, np.ndarray]], head: np.ndarray, states: int) -> Model:
     """A mixture of unigrams on the sample's (symbols, counts), one component a state, with states that tend to stay."""
     s = len(head) + 2
@@ -210,30 +189,25 @@ def _start(sample: list[tuple[np.ndarray, np.ndarray]], head: np.ndarray, states
 
 
 def _normal(head: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-    kind = np.float32
-    return Model(head, (start / start.sum()).astype(kind), (move / move.sum(axis=1, keepdims=True)).astype(kind), (emit / emit.sum(axis=0, keepdims=True)).astype(kind))
+    move = np.round(move / move.sum(axis=1, keepdims=True), DECIMALS)
+    return Model(head, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
 
 def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, np.ndarray]:
     """A model of (doc_id, text) rows and the exact counts of its symbols in them; null text is empty."""
     spark = texts.sparkSession
-    frequent = materialize(texts.select("text").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
-    # the least count, in steps of an eighth of a doubling, that no more than HEAD words reach
-    level = F.floor(F.log2("n") * 8)
-    levels = sorted(frequent.groupBy(level.alias("level")).count().collect(), reverse=True)  # a few hundred rows
-    reach = [r.level for r, upto in zip(levels, np.cumsum([r["count"] for r in levels]), strict=True) if upto <= HEAD]
-    top = frequent.filter(level >= reach[-1]).collect() if reach else []
-    head = np.sort(np.array([r.word for r in top], dtype=np.int64).view(np.uint64))
+    head, _ = frequent_words(word_counts(texts), HEAD)
     shared_head = spark.sparkContext.broadcast(head)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             sym, first, _ = symbols(shared_head.value, piece.column(1))
             each = [np.unique(sym[a:b], return_counts=True) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in each], pa.binary())], names=["counts"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in each], pa.binary())], names=["at", "counts"])
 
     few = sample_rows(texts, SAMPLE, by="doc_id")
-    each = [np.frombuffer(r.counts, dtype=np.int32).reshape(2, -1) for r in few.mapInArrow(sampled, "counts binary").collect()]  # SAMPLE rows
+    few = few.select(F.xxhash64("doc_id").alias("at"), "text").mapInArrow(sampled, "at long, counts binary")
+    each = [np.frombuffer(c, dtype=np.int32).reshape(2, -1) for _, c in sorted((r.at, bytes(r.counts)) for r in few.collect())]  # SAMPLE rows
     model = _start([(x[0], x[1]) for x in each], head, states)
     counts = np.zeros(len(head) + 2, dtype=np.int64)
     for _ in range(rounds):
@@ -273,7 +247,7 @@ def _of_class(lattice: Lattice, words: list[Words], n: int) -> tuple[np.ndarray,
 
 
 def _class_counts(shared):
-    """mapInArrow over (text): of each word of the class its count and expected count in each state, by batch."""
+    """mapInArrow over (text): of each word of the class its count and expected count in each state (``COARSE`` parts of one), by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
@@ -283,9 +257,10 @@ def _class_counts(shared):
             post, _ = lattice.posteriors(m)
             post = post[lattice.place[at]]
             word, which = np.unique(names, return_inverse=True)
-            by_state = [np.bincount(which, weights=post[:, j], minlength=len(word)) for j in range(k)]
+            post = np.rint(post * COARSE)
+            by_state = [np.bincount(which, weights=post[:, j], minlength=len(word)).astype(np.int64) for j in range(k)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word.view(np.int64)), pa.array(np.bincount(which, minlength=len(word)).astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in by_state)],
+                [pa.array(word.view(np.int64)), pa.array(np.bincount(which, minlength=len(word)).astype(np.int64)), *(pa.array(x) for x in by_state)],
                 names=["word", "n", *(f"s{j}" for j in range(k))],
             )
 
@@ -313,23 +288,28 @@ def _entries(share: np.ndarray):
             word, n, *by_state = (c.to_numpy() for c in batch.columns)
             out = np.empty(len(word), dtype=_entry(len(share)))
             out["word"], out["n"] = word.view(np.uint64), n
-            out["code"] = class_factors(n, np.stack(by_state, axis=1), share)
+            out["code"] = class_factors(n, np.stack(by_state, axis=1) / COARSE, share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], names=["word", "entry"])
 
     return run
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, key2, text) -> the first row of each key of this task, so that a text which many rows share travels once a task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        if new:
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new))
+
+
 def _class_words(shared):
-    """mapInArrow over (key, text): the distinct words of the class in each text; a task looks at equal texts once."""
+    """mapInArrow over (key, text): the distinct words of the class in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, seen = shared.value, set()
+        head = shared.value
         for piece in pieces(batches):
-            keys = piece.column(0).to_pylist()
-            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            if not new:
-                continue
-            piece = piece.take(pa.array(new))
             words = Words(piece.column(1), lower=True)
             at = np.minimum(np.searchsorted(head, words.hash), max(len(head) - 1, 0))
             rare = np.flatnonzero(head[at] != words.hash) if len(head) else np.arange(len(words.hash))
@@ -359,8 +339,8 @@ def _table(lists: list[pa.Array], kind: np.dtype) -> np.ndarray:
 
 
 def _scores(shared):
-    """mapInArrow over (doc_id, train, text, entries): the counts and both scores of each text."""
-    names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
+    """mapInArrow over (key, key2, text, entries): the counts and both scores of each text."""
+    names = ["key", "key2", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, counts, norm, class_norm = shared.value
@@ -369,11 +349,11 @@ def _scores(shared):
         # log10(c + 0.5) of head words and the end; words of the class have their own
         value, known = np.log10(counts + 0.5), counts > 0
         value[n], known[n] = 0.0, False
-        power = (2.0 ** ((np.arange(256) - ONE) / STEPS)).astype(np.float32)
+        power = 2.0 ** ((np.arange(256) - ONE) / STEPS)
         for held, words, lattice in _lattices(m.head, batches, 2):
             table = _table([p.column(3) for p in held], _entry(k))
             at, own = _of_class(lattice, words, n)
-            count, factor = np.zeros(len(at), dtype=np.int64), np.ones((len(at), k), dtype=np.float32)
+            count, factor = np.zeros(len(at), dtype=np.int64), np.ones((len(at), k))
             if len(table):
                 place = np.minimum(np.searchsorted(table["word"], own), len(table) - 1)
                 hit = table["word"][place] == own
@@ -406,17 +386,17 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     like others; without training rows all counts are 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    # a text without words meets nothing, so its key only spreads it
-    key = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
-    own = docs.select("doc_id", (~held_out).alias("train"), key.alias("key"), "text")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", (~held_out).alias("train"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"), text.alias("text"))
     learnt = own.filter("train")
     model, counts = train(learnt.select("doc_id", "text"), states, rounds)
     names = [f"s{j}" for j in range(states)]
-    gathered = learnt.select("text").mapInArrow(_class_counts(spark.sparkContext.broadcast(model.parts())), "word long, n long, " + ", ".join(f"{c} float" for c in names))
-    by_word = materialize(gathered.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(c).cast("float").alias(c) for c in names]), "class")
+    gathered = learnt.select("text").mapInArrow(_class_counts(spark.sparkContext.broadcast(model.parts())), "word long, n long, " + ", ".join(f"{c} long" for c in names))
+    by_word = materialize(gathered.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]), "class")
     totals = by_word.agg(F.count("n").alias("types"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *names]]).first()
-    share = np.array([totals[c] for c in names], dtype=np.float64) / max(totals.n, 1)
-    found = own.select("key", "text").mapInArrow(_class_words(spark.sparkContext.broadcast(model.head)), "word long, key long")
+    share = np.array([totals[c] / COARSE for c in names], dtype=np.float64) / max(totals.n, 1)
+    texts = own.select("key", "key2", "text").mapInArrow(_distinct, "key long, key2 long, text string")
+    found = texts.select("key", "text").mapInArrow(_class_words(spark.sparkContext.broadcast(model.head)), "word long, key long")
     found = found.join(by_word.mapInArrow(_entries(share), "word long, entry binary"), "word").groupBy("key").agg(F.collect_list("entry").alias("entries"))
 
     train_tokens = int(counts.sum())
@@ -425,7 +405,9 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     # the class: its training words with c + 0.5, and 0.5 for any word not seen
     class_norm = float(np.log10(totals.n + 0.5 * (totals.types + 1)))
     shared = spark.sparkContext.broadcast((model.parts(), counts, norm, class_norm))
-    rows = own.join(found, "key", "left").select("doc_id", "train", "text", "entries")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_scores(shared), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    rows = texts.join(found, "key", "left").select("key", "key2", "text", "entries")
+    scored = rows.mapInArrow(_scores(shared), "key long, key2 long, n_tokens long, n_known long, base_score double, score double")
+    # written, so that the join has two plain exchanges and the rows of a common text can be split
+    scored = materialize(scored.dropDuplicates(["key", "key2"]), "scores")
+    out = own.select("doc_id", "train", "key", "key2").join(scored, ["key", "key2"])
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

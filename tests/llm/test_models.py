@@ -273,6 +273,20 @@ def test_language_model(spark, talk, head, monkeypatch):
     assert hmm.score(talk.filter("doc_id in (0, 1)"), F.lit(True)).first().train_tokens == 0
 
 
+def test_language_model_does_not_depend_on_row_order(spark, talk, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 20)
+    monkeypatch.setattr(hmm, "SAMPLE", 60)
+    held_out = langid.fold(F.col("doc_id")) == 1
+    # many rows of one text, and ties of ids
+    same = talk.filter("doc_id = 3").crossJoin(spark.range(50)).drop("id").unionByName(talk)
+    scores = lambda df: sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in hmm.score(df, held_out, states=3).collect())
+    first = scores(same)
+    for other in (same.repartition(7, "doc_id"), same.orderBy(F.desc("doc_id")).coalesce(1), same.repartition(13, "text")):
+        again = scores(other)
+        assert [r[:2] for r in again] == [r[:2] for r in first]
+        assert [r[3] for r in again] == pytest.approx([r[3] for r in first], rel=1e-9) and [r[2] for r in again] == pytest.approx([r[2] for r in first], rel=1e-9)
+
+
 def test_forward_and_counts_against_all_paths():
     from itertools import product
 
