@@ -71,6 +71,25 @@ def detect(spark: SparkSession, a: argparse.Namespace) -> None:
     candidates(files.waveforms(spark, a.audio), settings).write.mode("overwrite").json(a.out)
 
 
+def train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A model of nuclei from waveforms, encoder states (recording_id, frame, x) and reviewed points."""
+    from prosodia.plans import consensus
+    from prosodia.sources import files, grids
+
+    points = grids.points(grids.read_grids(spark, a.grids), a.tier).select("recording_id", "t")
+    consensus.train(files.waveforms(spark, a.audio), spark.read.parquet(a.states), points, a.out, a.kind)
+
+
+def events(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Events of a trained model; recognised words prune what exceeds their vowels."""
+    from prosodia.functions.text import vowel_count
+    from prosodia.plans import consensus
+    from prosodia.sources import files
+
+    words = spark.read.schema(WORDS).json(a.words).withColumn("vowels", vowel_count(F.col("word"))) if a.words else None
+    consensus.detect(files.waveforms(spark, a.audio), spark.read.parquet(a.states), a.model, words).write.mode("overwrite").json(a.out)
+
+
 def clips(spark: SparkSession, a: argparse.Namespace) -> None:
     """A wave file's bytes for each labelled interval of a tier."""
     from prosodia.sources import files, grids, sinks
@@ -105,6 +124,8 @@ JOBS = {
     stress: ["--analyses", "--out"],
     recognisers: ["--texts", "--hypotheses", "--out"],
     detect: ["--audio", "--settings?", "--out"],
+    train: ["--audio", "--states", "--grids", "--tier=nucleus", "--kind=kernel_svm", "--out"],
+    events: ["--audio", "--states", "--model", "--words?", "--out"],
     clips: ["--audio", "--grids", "--tier=syllable", "--max#", "--out"],
 }
 

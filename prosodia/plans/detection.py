@@ -27,6 +27,21 @@ def fuse(candidates: DataFrame, nuclei: DataFrame, threshold: float, distance: f
     return union.join(both, [key, "event_id"]).select(key, "event_id", "t", "score", F.when(F.col("origin") == "primary", "candidate").otherwise("rescued").alias("origin"))
 
 
+def fuse_base_first(candidates: DataFrame, nuclei: DataFrame, threshold: float, distance: float) -> DataFrame:
+    """All nuclei of the base detector, and candidates at or above the threshold that stand apart from all kept, in order of time.
+
+    The scores of nuclei, and ids and columns, are those of ``fuse``; origin is base or rescued.
+    """
+    key = "recording_id"
+    ev = candidates.select(key, F.col("t").alias("ct"), F.col("score").alias("cs"))
+    scored = intervals.band_evidence(nuclei, ev, key, "event_id", "t", "ct", "cs", WITHIN, threshold - 1, BONUS * F.col("confidence"))
+    first = scored.withColumn("event_id", -F.col("event_id").cast("long") - 1)
+    second = candidates.filter(F.col("score") >= threshold).withColumn("event_id", F.col("event_id").cast("long"))
+    union = events.priority_union(first, second, key, "event_id", "t", distance)
+    both = first.select(key, "event_id", "score").unionByName(second.select(key, "event_id", "score"))
+    return union.join(both, [key, "event_id"]).select(key, "event_id", "t", "score", F.when(F.col("origin") == "primary", "base").otherwise("rescued").alias("origin"))
+
+
 def prune(detected: DataFrame, words: DataFrame, slack: int = 0, padding: float = 0.0) -> DataFrame:
     """Events with ``kept``: a word keeps as many as it has vowels (and slack), a word without vowels none."""
     return intervals.quota_topk(detected, words, "recording_id", "event_id", "t", "score", "start", "end", "word_idx", "vowels", 1.0, slack, padding)

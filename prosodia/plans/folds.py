@@ -187,8 +187,8 @@ def fit(df: DataFrame, kind: str, left_out: list[tuple[int, ...]] | None = None,
     return least_squares(m, left_out, strength) if kind == "least_squares" else logistic(df, m, left_out, strength)
 
 
-def held_out_scores(df: DataFrame, folds: Folds) -> DataFrame:
-    """held, recording_id, event_id, t, score: each row by every fold that leaves out its recording.
+def held_out_scores(df: DataFrame, folds: Folds, pairs: bool = True) -> DataFrame:
+    """held, recording_id, event_id, t, score: each row by every fold that leaves out its recording (``pairs``), or by the one without it alone.
 
     held is the other recording that the fold leaves out, or the row's own in the fold without it alone. A score is
     the linear form, or, of a logistic fit, what its curve makes of it; order and choice are the same.
@@ -196,7 +196,8 @@ def held_out_scores(df: DataFrame, folds: Folds) -> DataFrame:
     n = len(folds.names)
     index = {name: i for i, name in enumerate(folds.names)}
     at = {f: i for i, f in enumerate(folds.left_out)}
-    pick = np.array([[at[(i,)] if i == j else at[tuple(sorted((i, j)))] for j in range(n)] for i in range(n)], dtype=np.int64).reshape(n, n)
+    others = lambda i: range(n) if pairs else [i]
+    pick = np.array([[at[(i,)] if i == j else at[tuple(sorted((i, j)))] for j in others(i)] for i in range(n)], dtype=np.int64).reshape(n, -1)
     shared = df.sparkSession.sparkContext.broadcast((folds.names, index, pick, folds.coefficients))
     kind = df.schema["recording_id"].dataType.simpleString()
 
@@ -208,8 +209,8 @@ def held_out_scores(df: DataFrame, folds: Folds) -> DataFrame:
                 z = np.hstack([matrix(part.column(3)), np.ones((part.num_rows, 1))])
                 own = pick[[index[v] for v in part.column(0).to_pylist()]]
                 score = np.take_along_axis(z @ beta.T, own, axis=1)
-                take = pa.array(np.repeat(np.arange(part.num_rows), len(names)))
-                held = pa.array(names * part.num_rows, part.schema.field(0).type)
+                take = pa.array(np.repeat(np.arange(part.num_rows), own.shape[1]))
+                held = pa.array(names * part.num_rows, part.schema.field(0).type) if pairs else part.column(0)
                 yield pa.RecordBatch.from_arrays([held, *(part.column(i).take(take) for i in range(3)), pa.array(1 / (1 + np.exp(-np.clip(score.ravel(), -500, 500))))], names=["held", "recording_id", "event_id", "t", "score"])
 
     rows = df.select("recording_id", F.col("event_id").cast("long").alias("event_id"), F.col("t").cast("double").alias("t"), vector_to_array("features").alias("x"))

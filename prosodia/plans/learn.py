@@ -62,6 +62,23 @@ def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array(column)[1]).drop("rawPrediction", "probability", "prediction", "scaled", "cosines")
 
 
+def _united(scores: list[float], times: list[float], base: list[float], reference: list[float], thresholds: list[float], distances: list[float], tolerance: float) -> np.ndarray:
+    """Kept events and pairs of one run: all of ``base``, and in order of time what stands apart from all kept."""
+    out = np.zeros((len(distances), len(thresholds), 2), dtype=np.int64)
+    order = sorted(range(len(times)), key=lambda i: times[i])
+    for a, distance in enumerate(distances):
+        for k, threshold in enumerate(thresholds):
+            kept = sorted(base)
+            for j in order:
+                if scores[j] >= threshold:
+                    t = times[j]
+                    i = bisect_left(kept, t)
+                    if (i == 0 or t - kept[i - 1] >= distance) and (i == len(kept) or kept[i] - t >= distance):
+                        kept.insert(i, t)
+            out[a, k] = len(kept), events.match_count(kept, reference, tolerance)
+    return out
+
+
 def _swept(scores: list[float], ids: list[int], times: list[float], reference: list[float], thresholds: list[float], distances: list[float], tolerance: float) -> np.ndarray:
     """Kept events and pairs of one run (distances x thresholds x 2).
 
@@ -87,32 +104,42 @@ def _swept(scores: list[float], ids: list[int], times: list[float], reference: l
     return out
 
 
-def sweep(scored: DataFrame, reference: DataFrame, thresholds: list[float], distances: list[float], tolerance: float = 0.050) -> DataFrame:
+def sweep(scored: DataFrame, reference: DataFrame, thresholds: list[float], distances: list[float], tolerance: float = 0.050, base: DataFrame | None = None) -> DataFrame:
     """recording_id, grid_idx, threshold, distance, tp, fp, fn of every threshold and distance per recording, thinned greedily by score.
 
+    With ``base`` (recording_id, t) its events all stay and scored ones join in order of time where they stand apart.
+
     scored: recording_id, event_id, t, score; events without a score or time are left out. Each event travels
     once, whatever the grid: recordings are cut where neither suppression nor matching reaches across (gaps over the
     largest distance and the tolerance), and one pass over a run by falling score counts every setting.
     """
     own = scored.filter("t is not null and score is not null").select("recording_id", F.col("t").cast("double").alias("t"), F.lit(0).alias("side"), F.col("event_id").cast("long").alias("id"), F.col("score").cast("double").alias("score"))
     truth = reference.filter("t is not null").select("recording_id", F.col("t").cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"))
-    cut = ordered.gap_runs(own.unionByName(truth), "recording_id", "t", ["t", "side", "id"], max([tolerance, *distances]))
+    both = own.unionByName(truth)
+    if base is not None:
+        both = both.unionByName(base.filter("t is not null").select("recording_id", F.col("t").cast("double").alias("t"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score")))
+    cut = ordered.gap_runs(both, "recording_id", "t", ["t", "side", "id"], max([tolerance, *distances]))
     event = F.struct("score", "id", "t")
-    lists = cut.groupBy("recording_id", "run").agg(F.collect_list(F.when(F.col("side") == 0, event)).alias("p"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("t")))).alias("r"))
+    lists = cut.groupBy("recording_id", "run").agg(F.collect_list(F.when(F.col("side") == 0, event)).alias("p"), *[F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("t")))).alias(c) for n, c in ((1, "r"), (2, "b"))])
     cells = [(a, k) for a in range(len(distances)) for k in range(len(thresholds))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sums: dict = {}
-            for key, p, r in zip(frame["recording_id"], frame["p"], frame["r"], strict=True):
+            for key, p, r, b in zip(frame["recording_id"], frame["p"], frame["r"], frame["b"], strict=True):
                 counts = sums.setdefault(key, [np.zeros((len(distances), len(thresholds), 2), dtype=np.int64), 0])
-                counts[0] += _swept([x["score"] for x in p], [x["id"] for x in p], [x["t"] for x in p], list(r), thresholds, distances, tolerance)
+                scores, ids, times = ([x[c] for x in p] for c in ("score", "id", "t"))
+                if united:
+                    counts[0] += _united(scores, times, list(b), list(r), thresholds, distances, tolerance)
+                else:
+                    counts[0] += _swept(scores, ids, times, list(r), thresholds, distances, tolerance)
                 counts[1] += len(r)
             rows = [(key, a, k, int(n[a, k, 0]), int(n[a, k, 1]), r) for key, (n, r) in sums.items() for a, k in cells]
             yield pd.DataFrame(rows, columns=["recording_id", "a", "grid_idx", "kept", "tp", "refs"])
 
+    united = base is not None
     kind = scored.schema["recording_id"].dataType.simpleString()
-    parts = lists.select("recording_id", "p", "r").mapInPandas(run, f"recording_id {kind}, a int, grid_idx int, kept long, tp long, refs long")
+    parts = lists.select("recording_id", "p", "r", "b").mapInPandas(run, f"recording_id {kind}, a int, grid_idx int, kept long, tp long, refs long")
     out = parts.groupBy("recording_id", "a", "grid_idx").agg(F.sum("kept").alias("kept"), F.sum("tp").alias("tp"), F.sum("refs").alias("refs"))
     value = lambda values, at: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col(at) + 1)
     return out.select("recording_id", "grid_idx", value(thresholds, "grid_idx").alias("threshold"), value(distances, "a").alias("distance"), "tp", (F.col("kept") - F.col("tp")).alias("fp"), (F.col("refs") - F.col("tp")).alias("fn"))
