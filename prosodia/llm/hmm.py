@@ -32,7 +32,7 @@ HEAD, STATES, ROUNDS = 32_768, 8, 2
 #: The start is estimated on the symbol counts of so many whole training documents.
 SAMPLE = 1_500
 #: Tokens that go through the recursion together, about.
-BATCH = 1_000_000
+BATCH = 500_000
 CHUNKS = 32
 #: Each state keeps so much of the common distribution; steps to a doubling of a factor, and the code of 1.
 COMMON, STEPS, ONE = 0.01, 16, 128
