@@ -32,7 +32,7 @@ HEAD, STATES, ROUNDS = 32_768, 8, 2
 #: The start is estimated on the symbol counts of so many whole training documents.
 SAMPLE = 1_500
 #: Tokens that go through the recursion together, about.
-BATCH = 500_000
+BATCH = 1_000_000
 CHUNKS = 32
 #: Each state keeps so much of the common distribution; steps to a doubling of a factor, and the code of 1.
 COMMON, STEPS, ONE = 0.01, 16, 128
@@ -88,9 +88,10 @@ class Lattice:
         e = m.emit[self.sym]
         if at is not None:
             e[self.place[at]] *= factors
-        alpha, scale = np.empty_like(e), np.empty(len(e), dtype=e.dtype)
+        alpha, scale = np.empty_like(e), np.empty(len(e))
         move, last = m.move, None
         for b, n in zip(self.begin.tolist(), self.active.tolist(), strict=False):
+            # steps are taken in double precision and kept in single: what a product's place in a batch changes is rounded away
             own = e[b : b + n] * (m.start if last is None else last[:n] @ move)
             s = own.sum(axis=1)
             own /= s[:, None]
@@ -107,7 +108,7 @@ class Lattice:
     def log10(self, m: Model, at: np.ndarray | None = None, factors: np.ndarray | None = None) -> np.ndarray:
         """log10 likelihood of each sequence, in the order given."""
         _, _, scale = self.forward(m, at, factors)
-        return self.sums(np.log10(scale.astype(np.float64)))
+        return self.sums(np.log10(scale))
 
     def posteriors(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
         """Of each token (by step) the probability of each state, and expected moves (K, K)."""
@@ -115,7 +116,7 @@ class Lattice:
         k = len(m.start)
         moves = np.zeros((k, k))
         back = np.ascontiguousarray(m.move.T)
-        beta = np.ones((0, k), dtype=e.dtype)
+        beta = np.ones((0, k))
         for t in range(len(self.active) - 1, -1, -1):
             b, n = int(self.begin[t]), int(self.active[t])
             own = alpha[b : b + n]
@@ -125,9 +126,9 @@ class Lattice:
                 moves += own[:nn].T @ ahead
                 beta = ahead @ back
                 if nn < n:
-                    beta = np.concatenate([beta, np.ones((n - nn, k), dtype=e.dtype)])
+                    beta = np.concatenate([beta, np.ones((n - nn, k))])
             else:
-                beta = np.ones((n, k), dtype=e.dtype)
+                beta = np.ones((n, k))
             e_next = own * beta
             alpha[b : b + n] = e_next  # from here on the posterior of each state
         return alpha, moves * m.move
@@ -138,7 +139,7 @@ class Lattice:
         k = len(m.start)
         post = np.rint(post * FINE) / FINE
         emits = np.stack([np.bincount(self.sym, weights=post[:, j], minlength=len(m.emit)) for j in range(k)], axis=1)
-        first = post[: int(self.active[0])].sum(axis=0) if len(self.active) else np.zeros(k)
+        first = post[: int(self.active[0])].sum(axis=0, dtype=np.float64) if len(self.active) else np.zeros(k)
         return first, moves, emits
 
 
@@ -190,7 +191,7 @@ def _start(sample: list[tuple[np.ndarray, np.ndarray]], head: np.ndarray, states
 
 def _normal(head: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
     move = np.round(move / move.sum(axis=1, keepdims=True), DECIMALS)
-    return Model(head, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
+    return Model(head, start / start.sum(), move / move.sum(axis=1, keepdims=True), (emit / emit.sum(axis=0, keepdims=True)).astype(np.float32))
 
 
 def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, np.ndarray]:
@@ -349,11 +350,11 @@ def _scores(shared):
         # log10(c + 0.5) of head words and the end; words of the class have their own
         value, known = np.log10(counts + 0.5), counts > 0
         value[n], known[n] = 0.0, False
-        power = 2.0 ** ((np.arange(256) - ONE) / STEPS)
+        power = (2.0 ** ((np.arange(256) - ONE) / STEPS)).astype(np.float32)
         for held, words, lattice in _lattices(m.head, batches, 2):
             table = _table([p.column(3) for p in held], _entry(k))
             at, own = _of_class(lattice, words, n)
-            count, factor = np.zeros(len(at), dtype=np.int64), np.ones((len(at), k))
+            count, factor = np.zeros(len(at), dtype=np.int64), np.ones((len(at), k), dtype=np.float32)
             if len(table):
                 place = np.minimum(np.searchsorted(table["word"], own), len(table) - 1)
                 hit = table["word"][place] == own
