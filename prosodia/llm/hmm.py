@@ -295,23 +295,27 @@ def _entries(share: np.ndarray):
     return run
 
 
+def _new(batch: pa.RecordBatch, seen: set[tuple[int, int]]) -> pa.RecordBatch:
+    """The rows of (key, key2, ...) whose keys ``seen`` doesn't hold; it does then."""
+    keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+    return batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, key2, text) -> the first row of each key of this task, so that a text which many rows share travels once a task."""
+    """The first row of each key of this task, so that a text which many rows share travels once a task."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-        if new:
-            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new))
+        yield _new(batch, seen)
 
 
 def _class_words(shared):
-    """mapInArrow over (key, text): the distinct words of the class in each text."""
+    """mapInArrow over (key, key2, text): the distinct words of the class in each distinct text of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
-        for piece in pieces(batches):
-            words = Words(piece.column(1), lower=True)
+        head, seen = shared.value, set()
+        for piece in pieces(_new(b, seen) for b in batches):
+            words = Words(piece.column(2), lower=True)
             at = np.minimum(np.searchsorted(head, words.hash), max(len(head) - 1, 0))
             rare = np.flatnonzero(head[at] != words.hash) if len(head) else np.arange(len(words.hash))
             names, doc = words.hash[rare], np.searchsorted(words.first, rare, side="right") - 1
@@ -396,8 +400,8 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     by_word = materialize(gathered.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]), "class")
     totals = by_word.agg(F.count("n").alias("types"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *names]]).first()
     share = np.array([totals[c] / COARSE for c in names], dtype=np.float64) / max(totals.n, 1)
-    texts = own.select("key", "key2", "text").mapInArrow(_distinct, "key long, key2 long, text string")
-    found = texts.select("key", "text").mapInArrow(_class_words(spark.sparkContext.broadcast(model.head)), "word long, key long")
+    texts = own.select("key", "key2", "text")
+    found = texts.mapInArrow(_class_words(spark.sparkContext.broadcast(model.head)), "word long, key long")
     found = found.join(by_word.mapInArrow(_entries(share), "word long, entry binary"), "word").groupBy("key").agg(F.collect_list("entry").alias("entries"))
 
     train_tokens = int(counts.sum())
@@ -406,7 +410,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     # the class: its training words with c + 0.5, and 0.5 for any word not seen
     class_norm = float(np.log10(totals.n + 0.5 * (totals.types + 1)))
     shared = spark.sparkContext.broadcast((model.parts(), counts, norm, class_norm))
-    rows = texts.join(found, "key", "left").select("key", "key2", "text", "entries")
+    rows = texts.mapInArrow(_distinct, "key long, key2 long, text string").join(found, "key", "left").select("key", "key2", "text", "entries")
     scored = rows.mapInArrow(_scores(shared), "key long, key2 long, n_tokens long, n_known long, base_score double, score double")
     # written, so that the join has two plain exchanges and the rows of a common text can be split
     scored = materialize(scored.dropDuplicates(["key", "key2"]), "scores")
