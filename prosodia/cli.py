@@ -90,6 +90,13 @@ def events(spark: SparkSession, a: argparse.Namespace) -> None:
     consensus.detect(files.waveforms(spark, a.audio), spark.read.parquet(a.states), a.model, words).write.mode("overwrite").json(a.out)
 
 
+def stream(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Segments of encoder states (key, ts, frame, x) from files that came since the last run with this checkpoint."""
+    from prosodia.streaming.windows import run_segments
+
+    run_segments(spark, a.states, a.out, a.checkpoint, float(a.norm), float(a.merge))
+
+
 def clips(spark: SparkSession, a: argparse.Namespace) -> None:
     """A wave file's bytes for each labelled interval of a tier."""
     from prosodia.sources import files, grids, sinks
@@ -126,6 +133,7 @@ JOBS = {
     detect: ["--audio", "--settings?", "--out"],
     train: ["--audio", "--states", "--grids", "--tier=nucleus", "--kind=kernel_svm", "--out"],
     events: ["--audio", "--states", "--model", "--words?", "--out"],
+    stream: ["--states", "--norm=2.6", "--merge=0.8", "--checkpoint", "--out"],
     clips: ["--audio", "--grids", "--tier=syllable", "--max#", "--out"],
 }
 

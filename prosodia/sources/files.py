@@ -81,7 +81,7 @@ def waveforms(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for rec, mark, content in pdf.itertuples(index=False):
                 try:
-                    rows.append((rec, mark, ready_wave(content), decode_wave(content).tolist(), None))
+                    rows.append((rec, mark, ready_wave(content), decode_wave(content), None))
                 except (wave.Error, EOFError, ValueError) as e:
                     rows.append((rec, mark, False, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["recording_id", "fingerprint", "ready", "samples", "error"])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.types import StructType
+
+from prosodia.sources.stores import StagedWriter, listed, store
 
 SCHEMA = "recording_id string, tier string, kind string, idx int, start double, end double, text string, xmin double, xmax double"
 
@@ -26,64 +30,137 @@ def decode(content: bytes) -> str:
 _TOKEN = re.compile(r'"((?:[^"]|"")*)"|(?<![\w"])(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)(?![\w"\]])|<exists>|<absent>')
 
 
-def parse(text: str) -> tuple[float, float, list[dict]]:
+#: The head of a tier in the long layout; no label can hold it, for quotes inside labels are doubled.
+_TIER = re.compile(r'class\s*=\s*"(IntervalTier|TextTier)"\s*name\s*=\s*"((?:[^"]|"")*)"')
+
+Wanted = Callable[[str, str], bool]
+
+
+def _values(body: str) -> Iterator[str | float]:
+    body = re.sub(r"\[\s*\d*\s*\]", "", body)
+    return iter([m[1].replace('""', '"') if m[1] is not None else float(m[2]) for m in _TOKEN.finditer(body) if m[1] is not None or m[2] is not None])
+
+
+def _tier(values: Iterator[str | float]) -> dict:
+    kind, name = next(values), next(values)
+    next(values), next(values)
+    rows = []
+    for _ in range(int(next(values))):
+        if kind == "IntervalTier":
+            rows.append((next(values), next(values), next(values)))
+        else:
+            t = next(values)
+            rows.append((t, t, next(values)))
+    return {"name": name, "kind": KINDS[kind], "rows": rows}
+
+
+KINDS = {"IntervalTier": "interval", "TextTier": "point"}
+
+
+def parse(text: str, wanted: Wanted | None = None) -> tuple[float, float, list[dict]]:
     """xmin, xmax and tiers of a grid: name, kind (interval or point) and rows (start, end, text).
 
-    Only the values count, as in both of the format's layouts: quoted strings and free-standing numbers in order.
+    Only the values count, as in both of the format's layouts: quoted strings and free-standing numbers in order. Tiers
+    that ``wanted`` (name, kind) refuses are passed over; in the long layout their rows aren't read.
     """
     body = text.partition('"TextGrid"')[2]
     if not body:
         raise ValueError("not a TextGrid")
-    body = re.sub(r"\[\s*\d*\s*\]", "", body)
-    values = iter([m[1].replace('""', '"') if m[1] is not None else float(m[2]) for m in _TOKEN.finditer(body) if m[1] is not None or m[2] is not None])
+    starts = list(_TIER.finditer(body)) if wanted else []
+    values = _values(body[: starts[0].start()] if starts else body)
     xmin, xmax = next(values), next(values)
-    tiers = []
-    for _ in range(int(next(values, 0))):
-        kind, name = next(values), next(values)
-        next(values), next(values)
-        rows = []
-        for _ in range(int(next(values))):
-            if kind == "IntervalTier":
-                rows.append((next(values), next(values), next(values)))
-            else:
-                t = next(values)
-                rows.append((t, t, next(values)))
-        tiers.append({"name": name, "kind": "interval" if kind == "IntervalTier" else "point", "rows": rows})
-    return xmin, xmax, tiers
-
-
-def tier_rows(recording: str, content: bytes) -> Iterator[tuple]:
-    xmin, xmax, tiers = parse(decode(content))
+    size = int(next(values, 0))
+    if starts and len(starts) == size:
+        ends = [*(m.start() for m in starts[1:]), len(body)]
+        return xmin, xmax, [_tier(_values(body[m.start() : e])) for m, e in zip(starts, ends, strict=True) if wanted(m[2].replace('""', '"'), KINDS[m[1]])]
+    if starts:
+        raise ValueError(f"{len(starts)} tiers where {size} are announced")
+    tiers = [_tier(values) for _ in range(size)]
+    return xmin, xmax, [t for t in tiers if wanted is None or wanted(t["name"], t["kind"])]
+
+
+def tier_rows(recording: str, content: bytes, wanted: Wanted | None = None) -> Iterator[tuple]:
+    xmin, xmax, tiers = parse(decode(content), wanted)
     for tier in tiers:
         for i, (a, b, label) in enumerate(tier["rows"]):
             yield recording, tier["name"], tier["kind"], i, a, b, label, xmin, xmax
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class GridReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.pattern = options["path"]
-
-    def partitions(self):
-        import glob
-        import os
+    """Files packed into partitions by bytes; filters on recording_id, tier and kind skip files and tiers unread."""
 
-        path = self.pattern.removeprefix("file://")
-        return [_File(p) for p in sorted(glob.glob(os.path.join(path, "*.TextGrid") if os.path.isdir(path) else path))]
-
-    def read(self, partition):
-        import os
-
-        with open(partition.path, "rb") as f:
-            yield from tier_rows(os.path.basename(partition.path).rpartition(".")[0], f.read())
+    def __init__(self, options: dict):
+        self.path, self.bytes = options["path"], int(options.get("partitionBytes", 16 << 20))
+        self.allowed: dict[str, set] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in ("recording_id", "tier", "kind"):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                known = self.allowed.get(f.attribute[0])
+                self.allowed[f.attribute[0]] = values if known is None else known & values
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        packed, size = [], 0
+        names = self.allowed.get("recording_id")
+        for path, n in listed(self.path, "*.TextGrid"):
+            if names is not None and recording_of(path) not in names:
+                continue
+            if not packed or size + n > self.bytes:
+                packed.append([])
+                size = 0
+            packed[-1].append(path)
+            size += n
+        return [_Files(p) for p in packed] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        tiers, kinds = self.allowed.get("tier"), self.allowed.get("kind")
+        wanted = (lambda name, kind: (tiers is None or name in tiers) and (kinds is None or kind in kinds)) if tiers is not None or kinds is not None else None
+        files, _ = store(self.path)
+        for path in partition.paths:
+            with files.open_input_stream(path) as f:
+                yield from tier_rows(recording_of(path), f.read(), wanted)
+
+
+def recording_of(path: str) -> str:
+    return path.rpartition("/")[2].rpartition(".")[0]
+
+
+class GridWriter(StagedWriter):
+    """A file a recording; rows of a recording must share a partition and follow each other."""
+
+    def __init__(self, path: str, overwrite: bool, schema: StructType):
+        super().__init__(path, overwrite)
+        self.ordered = "tier_order" in schema.names
+
+    def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        name, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["recording_id"] != name:
+                    yield f"{name}.TextGrid", self.content(rows)
+                    rows = []
+                name = row["recording_id"]
+                rows.append(row)
+        if rows:
+            yield f"{name}.TextGrid", self.content(rows)
+
+    def content(self, rows: list[dict]) -> bytes:
+        tiers: dict[str, dict] = {}
+        for r in sorted(rows, key=lambda r: r["tier_order"]) if self.ordered else rows:
+            tiers.setdefault(r["tier"], {"name": r["tier"], "kind": r["kind"], "rows": []})["rows"].append((r["start"], r["end"], r["text"]))
+        return render(float(rows[0]["xmin"]), float(rows[0]["xmax"]), list(tiers.values())).encode()
 
 
 class GridSource(DataSource):
-    """``spark.read.format("textgrid").load(folder or pattern)``: one row an interval or point."""
+    """``spark.read.format("textgrid").load(folder, file or pattern)``: one row an interval or point; and its writer."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,8 +172,12 @@ class GridSource(DataSource):
     def reader(self, schema):
         return GridReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return GridWriter(self.options["path"], overwrite, schema)
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GridSource)
 
 

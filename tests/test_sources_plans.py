@@ -194,8 +194,3 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in run(sw.phrases(stream, "k", "ts"), "phrases").collect()) == [6, 6]
     iv = batch.filter("v = 3").select("k", F.col("ts").alias("a"), (F.col("ts") + F.expr("interval 150 milliseconds")).alias("b"))
     assert sw.assign(batch, iv, "k", "ts", "a", "b").count() == 3
-    st = spark.createDataFrame([("r", i, [3.0, 0.0] if i < 4 else [0.0, 3.0] if i < 7 else [0.0, 0.0]) for i in range(8)], "k string, i long, x array<double>")
-    st.repartition(1).write.parquet(str(tmp_path / "st"))
-    s2 = spark.readStream.schema(st.schema).parquet(str(tmp_path / "st"))
-    got = run(sw.segments(s2, "k", "i", "x", 1.0, 0.8), "segments", "append")
-    assert sorted((r.first, r.last, r.frames) for r in got.collect()) == [(0, 4, 4), (4, 7, 3)]
