@@ -32,7 +32,7 @@ HEAD, STATES, ROUNDS = 32_768, 8, 2
 #: The start is estimated on the symbol counts of so many whole training documents.
 SAMPLE = 1_500
 #: Tokens that go through the recursion together, about.
-BATCH = 1_000_000
+BATCH = 600_000
 CHUNKS = 32
 #: Each state keeps so much of the common distribution; steps to a doubling of a factor, and the code of 1.
 COMMON, STEPS, ONE = 0.01, 16, 128
@@ -137,7 +137,9 @@ class Lattice:
         """Expected starts (K), moves (K, K) and emissions (S, K)."""
         post, moves = self.posteriors(m)
         k = len(m.start)
-        post = np.rint(post * FINE) / FINE
+        post *= FINE
+        np.rint(post, out=post)
+        post /= FINE
         emits = np.stack([np.bincount(self.sym, weights=post[:, j], minlength=len(m.emit)) for j in range(k)], axis=1)
         first = post[: int(self.active[0])].sum(axis=0, dtype=np.float64) if len(self.active) else np.zeros(k)
         return first, moves, emits
@@ -147,6 +149,7 @@ def _lattices(head: np.ndarray, batches: Iterator[pa.RecordBatch], column: int)
     held, syms, firsts, size = [], [], [np.zeros(1, dtype=np.int64)], 0
     for piece in pieces(batches):
         sym, first, words = symbols(head, piece.column(column))
+        words._sums = words._down = None  # only fingerprints are used again
         held.append((piece, words))
         syms.append(sym)
         firsts.append(first[1:] + size)
