@@ -9,9 +9,9 @@ that has it is its hub; block h holds all sets that share with h a token whose h
 pair that can link meets in a block and each set is sent once to each of its few hubs, first as a
 bitmap of about a bit a token: sets whose bitmaps rule out every other set of the block go no further.
 
-Inside a block each component found so far is a trie of ordered sets. A new set descends a trie,
-sharing partial overlaps along common paths and leaving a subtree as soon as the tokens left could
-not reach the threshold; at the first link it joins that component, because more links to the same
+Inside a block all ordered sets are one trie. A set descends it, sharing partial overlaps along common
+paths, leaving a subtree as soon as the tokens left could not reach the threshold, and passing over
+sets that its component holds already or that size and map rule out, because more links to a
 component would tell nothing new. A group of n near copies costs about n descents, not n * n pairs.
 A block beyond a bound is cut into parts, each with the block's first set as an anchor. Whatever links
 with the anchor's component needs no more; only the strays left go to the other parts too, so a large
@@ -247,87 +247,118 @@ def _live_cells(percent: int):
     return run
 
 
-class _Node:
-    __slots__ = ("seg", "children", "ends", "rest", "least")
-
-    def __init__(self, seg: np.ndarray):
-        self.seg, self.children, self.ends, self.rest, self.least = seg, {}, [], 0, 0
-
-
 class Trie:
-    """Ordered sets along compressed paths; ``find`` returns a set that links with the probe, or None."""
-
-    def __init__(self, percent: int):
-        self.percent, self.root, self.sets = percent, _Node(np.zeros(0, dtype=np.uint64)), []
-
-    def add(self, name: int, keys: np.ndarray, side: int) -> None:
-        self.sets.append((name, keys, side))
-        node, at, size = self.root, 0, len(keys)
-        node.rest, node.least = max(node.rest, size), min(node.least or size, size)
-        while at < size:
-            child = node.children.get(int(keys[at]))
-            if child is None:
-                child = node.children[int(keys[at])] = _Node(keys[at:])
-                child.least = size
-                child.ends.append((name, size, side))
-                return
-            ahead = min(len(child.seg), size - at)
-            differ = np.flatnonzero(child.seg[:ahead] != keys[at : at + ahead])
-            same = int(differ[0]) if len(differ) else ahead
-            if same < len(child.seg):
-                tail = _Node(child.seg[same:])
-                tail.children, tail.ends, tail.rest, tail.least = child.children, child.ends, child.rest, child.least
-                child.rest = max(tail.rest + len(tail.seg), size - at - same)
-                child.seg, child.children, child.ends = child.seg[:same], {int(tail.seg[0]): tail}, []
-            else:
-                child.rest = max(child.rest, size - at - same)
-            child.least = min(child.least, size)
-            node, at = child, at + same
-        node.ends.append((name, size, side))
+    """All ordered sets of a block along compressed paths: a node is a run of sets that share their first tokens.
 
-    def find(self, keys: np.ndarray, side: int, cross: bool) -> int | None:
+    Sets are sorted by their tokens, so the sets below a node lie side by side. ``find`` walks the paths that hold
+    candidates, counts the overlap of a path once for all sets below it, and leaves a subtree as soon as the
+    tokens left could not reach the threshold with its smallest set.
+    """
+
+    def __init__(self, percent: int, sets: list[np.ndarray]):
+        self.percent, self.sets = percent, sets
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        #: (tokens of the node's own part, sets from, to, of them those that end here, least and greatest size below, children)
+        self.nodes: list[list] = []
+        self.roots = self._split(0, len(sets), 0)
+        waiting = [(n, end) for n, end in self.roots]
+        self.roots = [n for n, _ in self.roots]
+        while waiting:
+            n, depth = waiting.pop()
+            node = self.nodes[n]
+            below = self._split(node[3], node[2], depth)
+            node[6] = [c for c, _ in below]
+            waiting += below
+
+    def _split(self, low: int, high: int, depth: int) -> list[tuple[int, int]]:
+        """Nodes of the sets low to high by their token at ``depth``, each with the depth at which it ends."""
+        out, at = [], low
+        while at < high:
+            first, to = self.sets[at], at + 1
+            token = first[depth]
+            while to < high and self.sets[to][depth] == token:
+                to += 1
+            last = self.sets[to - 1]
+            ahead = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:ahead] != last[depth:ahead])
+            end = depth + int(differ[0]) if len(differ) else ahead
+            ends = at
+            while ends < to and len(self.sets[ends]) == end:
+                ends += 1
+            sizes = self.sizes[at:to]
+            self.nodes.append([first[depth:end], at, to, ends, int(sizes.min()), int(sizes.max()) - end, []])
+            out.append((len(self.nodes) - 1, end))
+            at = to
+        return out
+
+    def find(self, keys: np.ndarray, wanted: np.ndarray) -> int | None:
+        """A candidate (``wanted``, by place) that links with the probe, or None; those found not to are no longer wanted."""
         size, percent = len(keys), self.percent
-        stack = [(child, 0, 0) for child in self.root.children.values()]
+        stack = [(n, 0, 0) for n in self.roots]
+        places = np.flatnonzero(wanted)
         while stack:
-            node, got, used = stack.pop()
+            n, got, used = stack.pop()
+            seg, low, high, ends, least, rest, children = self.nodes[n]
+            if np.searchsorted(places, low) == np.searchsorted(places, high):
+                continue
             # needed of the smallest set below: inter >= p / (100 + p) * (size + its size)
-            need = percent * (size + node.least)
-            if (100 + percent) * (got + min(size - used, len(node.seg) + node.rest)) < need or 100 * size < percent * node.least:
+            need = percent * (size + least)
+            if (100 + percent) * (got + min(size - used, len(seg) + rest)) < need:
+                wanted[low:high] = False
                 continue
-            at = np.searchsorted(keys, node.seg)
-            hit = keys[np.minimum(at, size - 1)] == node.seg
+            at = np.searchsorted(keys, seg)
+            hit = keys[np.minimum(at, size - 1)] == seg
             got += int(np.count_nonzero(hit))
             used = int(at[-1]) + int(hit[-1])
-            for name, other, its in node.ends:
-                if not (cross and its == side) and 100 * got >= percent * (size + other - got):
-                    return name
-            if node.children and (100 + percent) * (got + min(size - used, node.rest)) >= need:
-                stack += [(child, got, used) for child in node.children.values()]
+            for p in range(low, ends):
+                if wanted[p] and 100 * got >= percent * (size + int(self.sizes[p]) - got):
+                    return p
+            wanted[low:ends] = False
+            if children and (100 + percent) * (got + min(size - used, rest)) >= need:
+                stack += [(c, got, used) for c in children]
+            else:
+                wanted[low:high] = False
         return None
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Maps of all sets in one width, as ``bitmap``: that of the largest set, 4,096 bits at most."""
+    width = 1 << min(12, max(6, int(max(map(len, sets)) - 1).bit_length()))
+    out = np.zeros((len(sets), width // 64), dtype=np.uint64)
+    for row, keys in zip(out, sets, strict=True):
+        bits = np.bincount((keys & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        row[:] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
 def link(sets: list[tuple[int, np.ndarray, int]], percent: int, cross: bool = False) -> list[tuple[int, int]]:
-    """Links that connect every pair of linked sets; ``cross``: only sets of unlike sides are compared."""
+    """Links that connect every pair of linked sets; ``cross``: only sets of unlike sides are compared.
+
+    All sets are in one trie. Each is a probe against those before it by (size, name), of components that it isn't in
+    yet and that size and map don't rule out; each link found joins two components.
+    """
+    sets = sorted(sets, key=lambda s: s[1].astype(">u8").tobytes())
+    names, keys, sides = [s[0] for s in sets], [s[1] for s in sets], np.array([s[2] for s in sets])
+    if len(sets) < 2:
+        return []
+    trie, maps = Trie(percent, keys), parities(keys)
+    order = sorted(range(len(sets)), key=lambda i: (len(keys[i]), names[i]))
+    home, seen = np.arange(len(sets)), np.zeros(len(sets), dtype=bool)
     links: list[tuple[int, int]] = []
-    tries: list[Trie] = []
-    for name, keys, side in sorted(sets, key=lambda s: (len(s[1]), s[0])):
-        home: Trie | None = None
-        for trie in list(tries):
-            other = trie.find(keys, side, cross)
-            if other is None:
-                continue
-            links.append((name, other))
-            if home is None:
-                home = trie
-                continue
-            small, home = sorted((home, trie), key=lambda t: len(t.sets))
-            for s in small.sets:
-                home.add(*s)
-            tries.remove(small)
-        if home is None:
-            home = Trie(percent)
-            tries.append(home)
-        home.add(name, keys, side)
+    for i in order:
+        size = len(keys[i])
+        wanted = seen & (100 * trie.sizes >= percent * size)
+        if cross:
+            wanted &= sides != sides[i]
+        near = np.flatnonzero(wanted)
+        if len(near):
+            apart = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            wanted[near] = (100 + percent) * apart <= (100 - percent) * (size + trie.sizes[near])
+        while wanted.any() and (other := trie.find(keys[i], wanted)) is not None:
+            links.append((names[i], names[other]))
+            home[home == home[i]] = home[other]
+            wanted &= home != home[i]
+        seen[i] = True
     return links
 
 
