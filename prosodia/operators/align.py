@@ -26,20 +26,34 @@ def align(system: list[str], ground: list[str]) -> list[tuple[int | None, int |
     """
     codes: dict[str, int] = {}
     a, b = (np.array([codes.setdefault(w.lower(), len(codes)) for w in x], dtype=np.int64) for x in (system, ground))
-    cost = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
     along = np.arange(len(b) + 1)
-    cost[0] = along
-    for i in range(1, len(a) + 1):
-        row = cost[i - 1] + 1
-        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + np.where(b == a[i - 1], 0, 2))
+
+    def below(row: np.ndarray, word: int) -> np.ndarray:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == word, 0, 2))
         # skipping ground words adds one each: a running minimum
-        cost[i] = np.minimum.accumulate(row - along) + along
+        return np.minimum.accumulate(new - along) + along
+
+    # rows of costs are kept at every step-th word and made again block by block on the way back: memory grows with a root
+    step = max(1, int(np.sqrt(len(a))))
+    row, marks = along, [along]
+    for i, word in enumerate(a, 1):
+        row = below(row, word)
+        if i % step == 0:
+            marks.append(row)
     out, i, j = [], len(a), len(b)
+    first, cost = len(a) + 1, []
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else 2):
+        if i and i <= first:
+            first = (i - 1) // step * step
+            cost = [marks[first // step]]
+            for word in a[first:i]:
+                cost.append(below(cost[-1], word))
+        here, above = (cost[i - first], cost[i - first - 1]) if i else (along, None)
+        if i and j and here[j] == above[j - 1] + (0 if a[i - 1] == b[j - 1] else 2):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif j and cost[i, j] == cost[i, j - 1] + 1:
+        elif j and here[j] == here[j - 1] + 1:
             j -= 1
             out.append((None, j))
         else:
@@ -126,22 +140,20 @@ def merged_times(texts: pd.Series, timed: pd.Series) -> pd.Series:
 
 def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of a least edit; of equal totals the least (S, D, I)."""
-    # total, S, D and I in one integer, most significant first, so that the least integer is the answer
-    bits = max(1, max(len(reference), len(hypothesis), 1).bit_length())
-    one, sub, drop, extra = 1 << 3 * bits, 1 << 2 * bits, 1 << bits, 1
-    if 4 * bits > 62:
-        raise ValueError("texts of more than 32767 words")
+    # total and S in one integer; deletions less insertions are the difference of the lengths, so these two tell D and I
+    one = 1 << 32
     codes: dict[str, int] = {}
     a, b = ([codes.setdefault(w, len(codes)) for w in x] for x in (reference, hypothesis))
     b = np.array(b, dtype=np.int64)
-    along = np.arange(len(b) + 1, dtype=np.int64) * (one + extra)
+    along = np.arange(len(b) + 1, dtype=np.int64) * one
     row = along
     for x in a:
-        new = row + (one + drop)
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == x, 0, one + sub))
+        new = row + one
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == x, 0, one + 1))
         row = np.minimum.accumulate(new - along) + along
-    n = int(row[-1])
-    return (n >> 2 * bits) & (sub // drop - 1), (n >> bits) & (drop - 1), n & (drop - 1)
+    total, substituted = int(row[-1]) >> 32, int(row[-1]) & (one - 1)
+    deleted = (total - substituted + len(a) - len(b)) // 2
+    return substituted, deleted, total - substituted - deleted
 
 
 @arrow_function("s int, d int, i int")

@@ -7,7 +7,7 @@ works run by run; clustering runs as a grouped function.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -233,56 +233,120 @@ def macro(counts: DataFrame, *by: str) -> DataFrame:
     return rates(counts).groupBy(*by).agg(F.avg("f1").alias("macro_f1"), F.min("f1").alias("min_f1"))
 
 
+class _Open:
+    """Open clusters, sorted by (median, number), once for each method that a cluster lacks."""
+
+    def __init__(self, methods: set[str]):
+        self.lacking: dict[str, list[tuple[float, int]]] = {m: [] for m in methods}
+
+    def nearest(self, method: str, t: float, within: float) -> int | None:
+        """The cluster without the method whose median is nearest to t and within reach; of equals the first made."""
+        own = self.lacking[method]
+        at = bisect_left(own, (t, -1))
+        near = []
+        if at < len(own):
+            near.append((abs(own[at][0] - t), own[at][1]))
+        if at:
+            first = bisect_left(own, (own[at - 1][0], -1))
+            near.append((abs(own[first][0] - t), own[first][1]))
+        best = min(near, default=None)
+        return best[1] if best and best[0] <= within else None
+
+    def close(self, before: float) -> None:
+        """Clusters that no later event can reach."""
+        for own in self.lacking.values():
+            at = bisect_left(own, (before, -1))
+            if at > 64:  # rare enough to be cheap, often enough to stay short
+                del own[:at]
+
+
 def cluster(times: list[float], methods: list[str], within: float, support: int, apart: float) -> list[tuple[float, int]]:
     """Events of several methods, clustered online in time order, then suppressed.
 
     An event joins the nearest cluster whose running median is within ``within`` and that has no member of its
     method. Clusters with ``support`` members rank by (members, -spread, median), greatest first, and stay if
-    ``apart`` from all kept. Returns (median, members) in time order.
+    ``apart`` from all kept. Returns (median, members) in time order. An event costs a search in the open clusters and a
+    place for each method, not a look at every cluster.
     """
     groups: list[tuple[list[float], set[str]]] = []
+    open_ = _Open(set(methods))
     for t, m in sorted(zip(times, methods, strict=True)):
-        near = [(abs(float(np.median(g)) - t), k) for k, (g, used) in enumerate(groups) if m not in used and abs(float(np.median(g)) - t) <= within]
-        if near:
-            k = min(near)[1]
-            groups[k][0].append(t)
-            groups[k][1].add(m)
+        open_.close(t - within)
+        k = open_.nearest(m, t, within)
+        if k is None:
+            k, was = len(groups), None
+            groups.append(([], set()))
         else:
-            groups.append(([t], {m}))
-    ranked = sorted(((len(g), -float(np.std(g)), float(np.median(g))) for g, _ in groups if len(g) >= support), reverse=True)
+            was = _median(groups[k][0])
+        members, used = groups[k]
+        insort(members, t)
+        used.add(m)
+        now = _median(members)
+        for method, own in open_.lacking.items():
+            if was is not None and (method not in used or method == m):
+                at = bisect_left(own, (was, k))
+                if at < len(own) and own[at] == (was, k):
+                    del own[at]
+            if method not in used:
+                insort(own, (now, k))
+    ranked = sorted(((len(g), -float(np.std(g)), _median(g)) for g, _ in groups if len(g) >= support), reverse=True)
     kept: list[tuple[float, int]] = []
     for n, _, t in ranked:
-        if all(abs(t - k) >= apart for k, _ in kept):
-            kept.append((t, n))
-    return sorted(kept)
+        at = bisect_left(kept, (t, -1))
+        if (at == 0 or abs(t - kept[at - 1][0]) >= apart) and (at == len(kept) or abs(kept[at][0] - t) >= apart):
+            kept.insert(at, (t, n))
+    return kept
+
+
+def _median(members: list[float]) -> float:
+    n = len(members)
+    return float(np.mean(members[(n - 1) // 2 : n // 2 + 1]))
 
 
 def cluster_events(events: DataFrame, key: str, t: str, method: str, within: float, support: int, apart: float) -> DataFrame:
-    """key, t, support of the clusters of each recording."""
+    """key, t, support of the clusters of each recording.
+
+    Recordings are cut where neighbours are further apart than clusters reach and suppress, so a long one spreads.
+    Events without a recording, time or method are left out.
+    """
+    own = events.select(key, F.col(t).cast("double").alias("__t"), F.col(method).cast("string").alias("__m")).filter("__t is not null and __m is not null")
+    cut = ordered.gap_runs(own, key, "__t", ["__t", "__m"], max(within, apart))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cluster(pdf[t].astype(float).tolist(), pdf[method].astype(str).tolist(), within, support, apart)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "t": [x for x, _ in found], "support": [n for _, n in found]})
+        found = cluster(pdf["__t"].tolist(), pdf["__m"].tolist(), within, support, apart)
+        same = pd.Series([pdf[key].iloc[0]] * len(found), dtype=object)
+        return pd.DataFrame({key: same, "t": pd.Series([x for x, _ in found], dtype="float64"), "support": pd.Series([n for _, n in found], dtype="int64")})
 
-    return events.select(key, t, method).groupBy(key).applyInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, t double, support long")
+    return cut.groupBy(key, "run").applyInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, t double, support long")
 
 
 def word_quota(first: list[tuple[float, float]], second: list[tuple[float, float]], words: list[tuple[float, float, int]], apart: float, bonus: float = 2.0) -> list[float]:
     """Times picked word by word: up to a word's count, by falling score, ``apart`` from all picked before.
 
-    Events of the first source score ``bonus`` more; an event serves one word at most.
+    Events of the first source score ``bonus`` more; an event serves one word at most. Events are sorted once; a word looks at
+    those inside it, an event at its picked neighbours.
     """
+    lists = []
+    for src, own in enumerate((first, second)):
+        order = sorted(range(len(own)), key=lambda k, own=own: (own[k][0], k))
+        lists.append(([own[k][0] for k in order], order, own, bonus * (src == 0)))
     picked: list[float] = []
     used: set[tuple[int, int]] = set()
     for start, end, count in words:
-        inside = [(s + bonus * (src == 0), t, src, k) for src, events in enumerate((first, second)) for k, (t, s) in enumerate(events) if start <= t <= end and (src, k) not in used]
+        inside = []
+        for src, (times, order, own, more) in enumerate(lists):
+            span = sorted(order[bisect_left(times, start) : bisect_right(times, end)])
+            inside += [(own[k][1] + more, own[k][0], src, k) for k in span if (src, k) not in used]
         taken = 0
         for _, t, src, k in sorted(inside, key=lambda x: (-x[0], x[1])):
-            if taken < count and all(abs(t - p) >= apart for p in picked):
-                picked.append(t)
+            if taken >= count:
+                break
+            at = bisect_left(picked, t)
+            if (at == 0 or abs(t - picked[at - 1]) >= apart) and (at == len(picked) or abs(t - picked[at]) >= apart):
+                picked.insert(at, t)
                 used.add((src, k))
                 taken += 1
-    return sorted(picked)
+    return picked
 
 
 def word_quota_events(first: DataFrame, second: DataFrame, words: DataFrame, key: str, apart: float) -> DataFrame:

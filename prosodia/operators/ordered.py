@@ -42,9 +42,8 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], inclusi
 
     ``order`` must tell all rows apart, or equal rows share an arbitrary order. Null terms count as 0.
     """
-    keys = {f"__o{i}": c for i, c in enumerate(order)}
     terms = {f"__v_{k}": F.coalesce(c, F.lit(0)) for k, c in sums.items()}
-    parted = _ranges(df.withColumns(keys | terms), list(order))
+    parted = _ranges(df.withColumns(terms), list(order))
     totals = parted.groupBy("__pid").agg(*[F.sum(t).alias(t) for t in terms])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     bases = totals.select(F.col("__pid").alias("__p"), *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__b{t}") for t in terms])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosodia.functions.arrays import safe_ratio, student_p
+from prosodia.operators import ordered
 
 #: Least rows of a group to report it, and of both groups to test them.
 REPORT_N, TEST_N = 3, 10
@@ -25,11 +26,12 @@ def contrast_table(df: DataFrame, by: str, stressed: Column, duration: str, ener
 def unit_frequency(df: DataFrame, units: Column, order: list[str]) -> DataFrame:
     """How often each unit of an array occurs, with the rank by count; ties go by first occurrence.
 
-    ``order`` are the columns that order rows; the position in the array comes after them.
+    ``order`` are the columns that order rows; the position in the array comes after them. Ranks come from range
+    partitions and prefix sums, so no task sorts all units.
     """
     each = df.select(*order, F.posexplode(units).alias("__pos", "unit"))
     out = each.groupBy("unit").agg(F.count("*").alias("count"), F.min(F.struct(*order, "__pos")).alias("__first"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "__first"))).drop("__first")
+    return ordered.ranked(out, [F.desc("count"), F.col("__first")]).drop("__first")
 
 
 def unit_totals(frequency: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosodia.operators import ordered as ordered_rows
+
 
 def ordered(key: str, *by: str):
     return Window.partitionBy(key).orderBy(*by)
@@ -112,8 +114,7 @@ def local_prominence(df: DataFrame, key: str, order: str, value: str, radius: in
 
 def running_offset(df: DataFrame, order: str, length: str, apart: float = 1.0) -> DataFrame:
     """Where each recording begins if all follow each other ``apart`` seconds."""
-    before = F.sum(F.col(length) + apart).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("offset", F.coalesce(before, F.lit(0.0)))
+    return ordered_rows.running(df, [F.col(order)], {"offset": (F.col(length) + apart).cast("double")}, inclusive=False)
 
 
 def deltas(values: np.ndarray, width: int = 5) -> np.ndarray:
