@@ -537,7 +537,7 @@ def event_match_pooled(spark, d):
 
 @query()
 def cluster_events(spark, d):
-    return events.cluster_events(timed(spark, d, "view", "purchase", "signup"), "rec", "t", "event_type", 3 * HOUR, 2, 6 * HOUR)
+    return events.cluster_events(timed(spark, d), "rec", "t", "event_type", 3 * HOUR, 2, 6 * HOUR)
 
 
 @query()

@@ -286,14 +286,39 @@ def _axes(axes):
     return f"SELECT {index} AS grid_idx, {', '.join(names)} FROM {tables}"
 
 
-@query(_axes(ranking.CONTOUR_AXES))
+def _passing(spark, d, axes, scale):
+    """How many events pass every bound of each setting: counted once by what they pass, then summed over the settings."""
+    e = timed(spark, d).select(*[scale[c].alias(f"v_{c}") for c in axes])
+    passed = lambda c, values: sum(((F.col(f"v_{c}") >= v).cast("int") for v in values[1:]), (F.col(f"v_{c}") >= values[0]).cast("int"))
+    steps = [passed(c, values).alias(f"n_{c}") for c, values in axes.items()]
+    # a row for each combination of steps that events reach, at most as many as there are settings and one more an axis
+    reached = e.select(*steps).groupBy(*[f"n_{c}" for c in axes]).agg(F.count("*").alias("n"))
+    settings = ranking.grid(spark, **axes)
+    for c, values in axes.items():
+        settings = settings.withColumn(f"s_{c}", F.array_position(F.array(*[F.lit(float(v)) for v in values]), F.col(c)))
+    on = [F.col(f"n_{c}") >= F.col(f"s_{c}") for c in axes]
+    counted = settings.join(F.broadcast(reached), on, "left").groupBy("grid_idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("passed"))
+    return settings.select("grid_idx", *axes).join(counted, "grid_idx")
+
+
+def _passing_sql(axes, scale):
+    bounds = " AND ".join(f"{scale[c]} >= g.{c}" for c in axes)
+    return f"{WITH}, g AS ({_axes(axes)}) SELECT g.grid_idx, {', '.join(f'g.{c}' for c in axes)}, (SELECT count(*) FROM ev WHERE {bounds}) AS passed FROM g"
+
+
+_CONTOUR = {"dip_db": "ev.value / 20", "distance_s": "(ev.id % 15) / 100.0::DOUBLE", "gain_db": "ev.value / 15", "floor_db": "ev.value / 2"}
+_SEGMENT = {"norm": "ev.value / 50", "merge": "(ev.id % 100) / 100.0::DOUBLE"}
+
+
+@query(_passing_sql(ranking.CONTOUR_AXES, _CONTOUR))
 def contour_grid(spark, d):
-    return ranking.grid(spark, **ranking.CONTOUR_AXES)
+    v, i = F.col("value"), F.col("id")
+    return _passing(spark, d, ranking.CONTOUR_AXES, {"dip_db": v / 20, "distance_s": (i % 15) / F.lit(100.0), "gain_db": v / 15, "floor_db": v / 2})
 
 
-@query(_axes(ranking.SEGMENT_AXES))
+@query(_passing_sql(ranking.SEGMENT_AXES, _SEGMENT))
 def segment_grid(spark, d):
-    return ranking.grid(spark, **ranking.SEGMENT_AXES)
+    return _passing(spark, d, ranking.SEGMENT_AXES, {"norm": F.col("value") / 50, "merge": (F.col("id") % 100) / F.lit(100.0)})
 
 
 @query(f"{WITH}, g AS ({_axes(ranking.GATE_AXES)}) SELECT grid_idx, count(*) AS passed FROM ev JOIN g ON ev.id % 17 = 0 OR (value / 200 >= periodicity AND value / 150 >= strength AND (ev.id % 10) / 10.0::DOUBLE >= vowel) GROUP BY grid_idx")
@@ -407,31 +432,27 @@ def manual_stress_marks(spark, d):
 # --- recordings that tables share, windows of a stream read as a table -----------------------
 
 
-def _nations(spark, d):
+def _recordings(spark, d):
+    """Customers, and the customers that orders and events know."""
     own = lambda t, c: table(spark, d, t).select(F.col(c).cast("long").alias("recording_id"))
-    return own("nation", "n_nationkey"), own("customer", "c_nationkey"), own("supplier", "s_nationkey")
+    return own("customer", "c_custkey"), own("orders", "o_custkey"), own("events", "user_id")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS recording_id FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS recording_id FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT user_id FROM events")
 def recordings_in_all_tables(spark, d):
-    n, _, s = _nations(spark, d)
-    rich = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").cast("long").alias("recording_id"))
-    return files.common(n, rich, s)
+    return files.common(*_recordings(spark, d))
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS recording_id, 0 AS missing FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)
-UNION ALL SELECT CAST(n_nationkey AS BIGINT), 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)""")
+@query("""SELECT c_custkey AS recording_id, 0 AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def recordings_missing(spark, d):
-    n, _, _ = _nations(spark, d)
-    rich = table(spark, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").cast("long").alias("recording_id"))
-    s = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("recording_id"))
-    return files.missing(n, rich, s)
+    return files.missing(*_recordings(spark, d))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS recording_id, n_name, s_name AS text FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+@query("SELECT c_custkey AS recording_id, c_name, text FROM customer LEFT JOIN documents ON doc_id = c_custkey")
 def recordings_with_text(spark, d):
-    audio = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("recording_id"), "n_name")
-    return files.pair(audio, table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").cast("long").alias("recording_id"), F.col("s_name").alias("text")))
+    audio = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("recording_id"), "c_name")
+    return files.pair(audio, table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), "text"))
 
 
 def _stream(spark, d):

@@ -312,12 +312,13 @@ def cluster_events(events: DataFrame, key: str, t: str, method: str, within: flo
     own = events.select(key, F.col(t).cast("double").alias("__t"), F.col(method).cast("string").alias("__m")).filter("__t is not null and __m is not null")
     cut = ordered.gap_runs(own, key, "__t", ["__t", "__m"], max(within, apart))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cluster(pdf["__t"].tolist(), pdf["__m"].tolist(), within, support, apart)
-        same = pd.Series([pdf[key].iloc[0]] * len(found), dtype=object)
-        return pd.DataFrame({key: same, "t": pd.Series([x for x, _ in found], dtype="float64"), "support": pd.Series([n for _, n in found], dtype="int64")})
+    lists = cut.groupBy(key, "run").agg(F.collect_list(F.struct("__t", "__m")).alias("es"))
 
-    return cut.groupBy(key, "run").applyInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, t double, support long")
+    @F.pandas_udf("array<struct<t:double,support:long>>")
+    def run(es: pd.Series) -> pd.Series:
+        return pd.Series([[{"t": t, "support": n} for t, n in cluster([e["__t"] for e in own], [e["__m"] for e in own], within, support, apart)] for own in es])
+
+    return lists.select(key, F.explode(run("es")).alias("c")).select(key, "c.t", "c.support")
 
 
 def word_quota(first: list[tuple[float, float]], second: list[tuple[float, float]], words: list[tuple[float, float, int]], apart: float, bonus: float = 2.0) -> list[float]:
