@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 
-from prosodia import cli, catalog
+from prosodia import catalog, catalog_learning, catalog_records, cli  # noqa: F401  the query modules fill the catalog
 from prosodia.sources import files
 from tests.test_functions import bursts
 from tests.test_sources_plans import record
