@@ -22,13 +22,24 @@ def analyse(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Analyses against manual grids and word counts."""
+    """Analyses (all, or --recordings) against manual grids and word counts: tables, a text report and CSV with a byte order mark."""
     from prosodia.plans.evaluation import evaluate as run
-    from prosodia.sources import files, grids
+    from prosodia.plans.evaluation import report
+    from prosodia.sources import files, grids, sinks
 
     manual = grids.intervals(grids.read_grids(spark, a.grids), a.tier)
-    for name, table in run(files.analyses(spark, a.analyses), manual, files.ground_truth(spark, a.truth)).items():
+    own = files.analyses(spark, a.analyses)
+    if a.recordings:
+        own = own.filter(F.col("recording_id").isin(a.recordings))
+    tables = run(own, manual, files.ground_truth(spark, a.truth))
+    for name, table in tables.items():
         table.write.mode("overwrite").json(f"{a.out}/{name}")
+    lines = report(tables).orderBy(F.asc_nulls_last("recording_id"), "position")
+    lines.select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(f"{a.out}/report")
+    if a.csv:
+        sinks.write_csv_with_mark(tables["text_syllables"].orderBy(F.asc_nulls_last("recording_id")), a.csv)
+    for r in lines.filter("recording_id is null").collect():  # a line a measure
+        print(r.line)
 
 
 def reduce(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,7 +137,7 @@ def with_lemmas(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 JOBS = {
     analyse: ["--audio", "--words", "--texts?", "--out"],
-    evaluate: ["--analyses", "--grids", "--truth", "--tier=syllable", "--out"],
+    evaluate: ["--analyses", "--grids", "--truth", "--tier=syllable", "--recordings*", "--csv?", "--out"],
     reduce: ["--analyses", "--pool*", "--collapse!", "--out"],
     stress: ["--analyses", "--out"],
     recognisers: ["--texts", "--hypotheses", "--out"],

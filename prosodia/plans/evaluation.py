@@ -31,12 +31,44 @@ def evaluate(analyses: DataFrame, manual: DataFrame, truth: DataFrame) -> dict[s
     return {
         "text_syllables": stats.accuracy(p, key, F.col("x.syllable_count") == F.col("y.n")),
         "nuclei": stats.accuracy(p, key, F.col("x.nuclei") == F.col("y.n")),
-        "boundaries": boundary.groupBy(key).agg(F.avg("error_ms").alias("mean_ms"), F.median("error_ms").alias("median_ms"), stats.p90("error_ms").alias("p90_ms")),
+        "boundaries": boundary.rollup(key).agg(F.avg("error_ms").alias("mean_ms"), F.median("error_ms").alias("median_ms"), stats.p90("error_ms").alias("p90_ms"), F.count("*").alias("n")),
         "stress": stats.accuracy(known, key, F.col("x.stressed") == F.col("x.expected")),
         "manual_stress": stats.accuracy(p.filter("manual_stress is not null"), key, F.col("x.stressed") == F.col("manual_stress")),
     }
 
 
+#: What the report says of each table, in order; shares are hits, total and percentage.
+LINES = (
+    ("text_syllables", "syllables of the text: %d/%d = %.1f%%"),
+    ("nuclei", "acoustic nuclei: %d/%d = %.1f%%"),
+    ("boundaries", "boundary error: mean %.1f ms, median %.1f ms, P90 %.1f ms (n=%d)"),
+    ("stress", "acoustic against dictionary stress: %d/%d = %.1f%% (no ground truth)"),
+    ("manual_stress", "acoustic stress against marks: %d/%d = %.1f%%"),
+)
+NO_MARKS = "acoustic stress against marks: — (no marks)"
+
+
+def report(tables: dict[str, DataFrame]) -> DataFrame:
+    """recording_id (null: all), position, line of the evaluation as text: no measure is mixed with another.
+
+    A recording with words has a heading and a line for each measure that it has; the one of stress marks says so where
+    there are none. Pooled lines count hits and errors, not percentages.
+    """
+    key = "recording_id"
+    known = tables["text_syllables"].filter("total > 0")
+    names = known.select(key, F.col("total").cast("long").alias("total"))
+    recordings = known.agg(F.count(key)).first()[0]
+    heads = names.select(key, F.lit(0).alias("position"), F.when(F.col(key).isNull(), F.format_string("all %d recordings, %d words", F.lit(recordings), F.col("total"))).otherwise(F.format_string("[%s] %d words", F.col(key), F.col("total"))).alias("line"))
+    out = heads
+    for position, (name, line) in enumerate(LINES, 1):
+        values = ("mean_ms", "median_ms", "p90_ms", "n") if name == "boundaries" else ("hits", "total", "accuracy")
+        own = tables[name].filter("n > 0" if name == "boundaries" else "total > 0")
+        out = out.unionByName(own.select(key, F.lit(position).alias("position"), F.format_string("  " + line, *[F.col(v) for v in values]).alias("line")))
+    marked = tables["manual_stress"].filter("total > 0").select(F.col(key).alias("__k"))
+    bare = names.join(marked, F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+    return out.unionByName(bare.select(key, F.lit(len(LINES)).alias("position"), F.lit("  " + NO_MARKS).alias("line")))
+
+
 def recognisers(references: DataFrame, hypotheses: DataFrame) -> dict[str, DataFrame]:
     """Word errors per recording and engine, and pooled by engine. Both sides: recording_id, text; hypotheses: engine."""
     j = hypotheses.join(references.withColumnRenamed("text", "__ref"), "recording_id")

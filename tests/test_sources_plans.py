@@ -120,6 +120,11 @@ def test_evaluation(spark, tmp_path):
     b = e["boundaries"].first()
     assert b.mean_ms == pytest.approx((10 + 100) / 6) and b.p90_ms == pytest.approx(100)
     assert [(r.hits, r.total) for r in e["manual_stress"].filter("recording_id is null").collect()] == [(1, 1)]
+    lines = [r.line for r in evaluation.report(e).orderBy(F.asc_nulls_last("recording_id"), "position").collect()]
+    assert lines[0] == "[r] 2 words" and lines[1] == "  syllables of the text: 2/2 = 100.0%" and lines[len(lines) // 2] == "all 1 recordings, 2 words"
+    assert any(x.startswith("  boundary error: mean 18.3 ms") and x.endswith("P90 100.0 ms (n=6)") for x in lines) and sum("against marks: 1/1" in x for x in lines) == 2
+    bare = evaluation.report({**e, "manual_stress": e["manual_stress"].filter("false")})
+    assert bare.filter("line like '%no marks%'").count() == 2
     ref = spark.createDataFrame([("r", "один два три")], "recording_id string, text string")
     hyp = spark.createDataFrame([("r", "v", "один четыре пять"), ("r", "w", "один два три")], "recording_id string, engine string, text string")
     assert {r.engine: r.wer for r in evaluation.recognisers(ref, hyp)["aggregate"].collect()} == {"v": 66.67, "w": 0.0}
