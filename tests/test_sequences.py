@@ -125,3 +125,16 @@ def test_ranks_and_offsets(spark):
     for i, d in lengths:
         assert got[i] == pytest.approx(at)
         at += d + 0.5
+
+
+def test_differences_and_transferred_times_as_columns(spark):
+    df = spark.createDataFrame([(["ма", "ла", "ко"], ["ма", "ло", "ко", "да"]), (["а"], []), (None, ["б"])], "r array<string>, h array<string>")
+    rows = df.select(align.syllable_diff("r", "h").alias("d")).collect()
+    assert [(e.position, e.expected, e.got, e.type) for e in rows[0].d.errors] == [(2, "ла", "ло", "substitution"), (4, align.NONE, "да", "insertion")]
+    assert rows[0].d.match_ratio == pytest.approx(4 / 7) and [(e.expected, e.type) for e in rows[1].d.errors] == [("а", "deletion")] and rows[2].d.errors[0].type == "insertion"
+    word = "struct<word:string,start:double,end:double,conf:double,timing_source:string>"
+    mine = [("один", 0.0, 0.4, 0.9, None), ("два", 0.5, 0.9, 0.9, None), ("пять", 1.0, 1.5, 0.9, None)]
+    other = [("один", 0.1, 0.5, 0.8, None), ("две", 0.6, 1.0, 0.8, None)]
+    out = spark.createDataFrame([(mine, other)], f"a array<{word}>, b array<{word}>").select(align.merged_times("a", "b").alias("m")).first().m
+    # two words against one: their span is scaled into the other's
+    assert [(w.word, round(w.start, 3), round(w.end, 3), w.timing_source) for w in out] == [("один", 0.1, 0.5, "times"), ("два", 0.6, 0.76, "times"), ("пять", 0.8, 1.0, "times")]
