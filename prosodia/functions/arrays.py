@@ -83,41 +83,58 @@ def resampled(values: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([resample(v, int(k)).tolist() for v, k in zip(values, n, strict=True)])
 
 
-def beta_fraction(a: float, b: float, x: float, rounds: int = 199, tolerance: float = 3e-7) -> float:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
-    tiny = 1e-30
-    floor = lambda v: v if abs(v) > tiny else tiny
-    c, d = 1.0, 1.0 / floor(1.0 - (a + b) * x / (a + 1.0))
-    h = d
-    for m in range(1, rounds + 1):
+# What stands for zero in a divisor, most rounds, and the relative change that ends them.
+TINY, ROUNDS, CLOSE = 1e-30, 199, 3e-7
+
+
+def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function of whole columns, by the modified Lentz method.
+
+    A row stops when its own value settles, so rows don't depend on each other.
+    """
+    floor = lambda v: np.where(np.abs(v) > TINY, v, TINY)
+    c, d = np.ones_like(x), 1.0 / floor(1.0 - (a + b) * x / (a + 1.0))
+    h, going = d.copy(), np.ones(x.shape, dtype=bool)
+    for m in range(1, ROUNDS + 1):
+        if not going.any():
+            break
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
             d = 1.0 / floor(1.0 + term * d)
             c = floor(1.0 + term / c)
-            h *= d * c
-        if abs(d * c - 1.0) < tolerance:
-            break
+            h = np.where(going, h * d * c, h)
+        going &= np.abs(d * c - 1.0) >= CLOSE
     return h
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    if x < (a + 1) / (a + b + 2):
-        return front * beta_fraction(a, b, x) / a
-    return 1 - front * beta_fraction(b, a, 1 - x) / b
+def incomplete_beta(a, b, x):
+    """The regularised incomplete beta function, of numbers or columns."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=np.float64) for v in (a, b, x)))
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    gamma = lambda v: np.array([math.lgamma(z) for z in v.ravel()]).reshape(v.shape)
+    front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(inside) + b * np.log1p(-inside))
+    low = inside < (a + 1) / (a + b + 2)
+    first, second = np.where(low, a, b), np.where(low, b, a)
+    part = front * beta_fraction(first, second, np.where(low, inside, 1 - inside)) / first
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(low, part, 1 - part)))
+    return out if out.ndim else float(out)
 
 
-def two_sided_p(t: float, df: float) -> float:
-    """Two-sided p of Student's t."""
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+def two_sided_p(t, df):
+    """Two-sided p of Student's t, of numbers or columns."""
+    df = np.asarray(df, dtype=np.float64)
+    return incomplete_beta(df / 2, 0.5, df / (df + np.square(t)))
 
 
 @arrow_function("double")
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else (0.0 if math.isinf(a) else two_sided_p(a, b)) for a, b in zip(t, df, strict=True)], dtype="float64")
+    t, df = (v.to_numpy(dtype=np.float64, na_value=np.nan) for v in (t, df))
+    known = np.isfinite(t) & ~np.isnan(df)
+    out = np.where(np.isinf(t) & ~np.isnan(df), 0.0, np.nan)
+    if known.any():
+        out[known] = two_sided_p(t[known], df[known])
+    return pd.Series(out)  # Arrow takes NaN of pandas as null
 
 
 def sorted_unique(*arrays: Column) -> Column:

@@ -119,3 +119,14 @@ def test_candidate_features():
     assert signal.votes(states, [1.0, 2.0], [0.8]).argmax() in (2, 9)
     assert windows.deltas(np.arange(9.0))[4] == pytest.approx(1.0)
     assert windows.gaussian(np.ones(5), 1.0) == pytest.approx(np.ones(5))
+
+
+def test_t_distribution_over_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(2.0, 10.0), (0.0, 3.0), (math.inf, 5.0), (-math.inf, 5.0), (None, 4.0), (1.0, None), (float("nan"), 2.0), (-12.0, 7.5)]
+    out = [r.p for r in spark.createDataFrame(rows, "t double, df double").coalesce(1).select(arrays.student_p("t", "df").alias("p")).collect()]
+    assert out[0] == pytest.approx(0.0733880, abs=1e-6) and out[1] == pytest.approx(1.0) and out[2] == out[3] == 0.0 and out[4:7] == [None] * 3 and 0 < out[7] < 1e-5
+    # one degree of freedom has a closed form
+    t = np.array([0.1, 1.0, 5.0])
+    assert arrays.two_sided_p(t, np.ones(3)) == pytest.approx(1 - 2 / math.pi * np.arctan(t), abs=1e-6)
