@@ -86,6 +86,6 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def shard_bounds(sharded: DataFrame) -> DataFrame:
-    """Per shard: rows, bytes and the least and greatest cell of each dimension, for pruning."""
+    """Per shard: rows, bytes and the least and greatest cell of each dimension, for pruning; shards without rows are absent."""
     ends = [f(c).alias(f"{n}_{c}") for c in ("cell_source", "cell_lang", "cell_size") for n, f in (("min", F.min), ("max", F.max))]
     return sharded.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ends)

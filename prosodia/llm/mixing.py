@@ -87,7 +87,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, frac
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows equal in doc_id, source and text are one row that is taken as often as they are together.
+    Rows equal in doc_id, source and text are one row that is taken as often as they are together. Rows without
+    words, null texts among them, fill no share and are not taken; null ids and sources are values like others;
+    an empty table gives no rows. Columns __d, __s, __c, __copies, __rows and __copy are its own while it works.
     """
     taken = mix(docs, weights, most).filter("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__crc").alias("__c")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
     taken = materialize(taken, "taken")

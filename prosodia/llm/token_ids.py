@@ -277,6 +277,9 @@ class TokenStore:
 
 
 def token_table(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
-    """Write ``docs`` to a fresh store in the shared folder and return what the files hold."""
+    """Write ``docs`` to a fresh store in the shared folder and return what the files hold.
+
+    What ``write_tokens`` says of null, empty and repeated rows holds; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     return read_digests(spark, write_tokens(docs, scratch_path(spark, "tokens"), tokenizer_json, end_id))
