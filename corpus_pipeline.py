@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over ``documents``: five stages, each written and read again."""
+"""A training-corpus pipeline over ``documents``: five stages, each written and read again.
+
+All but the last stage pass every column through, of any name. Null ids, texts and sources are values like others,
+rows that repeat an id are rows of their own, and an empty table goes through all stages.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +14,28 @@ from prosodia.llm.shared import materialize
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on labels, finds toxic go."""
+    """Documents that the ordinal model, fitted on labels, finds toxic go; null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles at similarity 0.8 link stays: the least doc_id."""
+    """One document of each group that five-word shingles at similarity 0.8 link stays: the least doc_id; those without words all stay."""
     return ngram_join.keep_first(docs, n=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or nearly, go."""
+    """Documents that hold a benchmark item, exactly or nearly, go; null and empty texts stay."""
     return decontaminate.keep_untouched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; those without words fill no share and aren't taken."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token files hold of each document."""
+    """What the token files hold of each document; a null text has its end id alone."""
     return token_ids.token_table(docs, tokenizer_file(), end_id=2)
 
 
