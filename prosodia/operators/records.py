@@ -111,11 +111,18 @@ def whisper_tokens(tokens: DataFrame, word: str = "word", start: str = "start",
     return tokens.filter(~short).withColumn(word, clean_recognised(F.col(word))).filter(F.col(word) != "")
 
 
+def steady_mean(x: Column) -> Column:
+    """Mean of doubles by an exact sum of 14 decimals, so that it doesn't hang on the order of rows; values beyond a decimal's range are averaged as they are."""
+    exact = x.try_cast("decimal(28,14)")
+    return F.when(F.count(x) == F.count(exact), F.avg(exact).cast("double")).otherwise(F.avg(x))
+
+
 def scores(word_rows: DataFrame, syllable_rows: DataFrame, rates: DataFrame, key: str = "recording_id") -> DataFrame:
     """Four component scores of each recording, each null without data; there is no composite.
 
     acoustics: 20 % loud enough, 40 % with a core, 40 % with the expected count. stress: share of known pairs that match. reduction: mean ratio
     (at most 1.5) of unstressed to stressed duration over vowels with three of both, from 0.70 (100) to 1.00 (20 at least). tempo: distance from 3 words a second.
+    No score depends on the order of rows, nor does its rounding.
     """
     s = syllable_rows.groupBy(key).agg(F.avg((~quiet(F.col("energy"))).cast("int")).alias("loud"), F.avg(F.col("is_core").cast("int")).alias("core"))
     w = word_rows.groupBy(key).agg(
@@ -124,8 +131,10 @@ def scores(word_rows: DataFrame, syllable_rows: DataFrame, rates: DataFrame, key
     )
     v = syllable_rows.filter((F.col("duration") >= 0.025) & (F.col("stressed") >= 0) & (F.col("syllable_count") > 1)).withColumn("vowel", scored_vowel(F.col("syllable"))).filter("vowel is not null")
     on = F.col("position") == "stressed"
-    v = v.groupBy(key, "vowel").agg(*[f(F.when(c, F.col("duration"))).alias(n) for n, f, c in (("a", F.avg, on), ("b", F.avg, ~on), ("na", F.count, on), ("nb", F.count, ~on))]).filter("na >= 3 and nb >= 3 and a > 0")
-    v = v.groupBy(key).agg(F.avg(F.least(F.col("b") / F.col("a"), F.lit(1.5))).alias("ratio"))
+    v = v.groupBy(key, "vowel").agg(*[f(F.when(c, F.col("duration"))).alias(n) for n, f, c in (("a", steady_mean, on), ("b", steady_mean, ~on), ("na", F.count, on), ("nb", F.count, ~on))]).filter("na >= 3 and nb >= 3 and a > 0")
+    # a recording has few vowels: their ratios are added in order of size
+    v = v.groupBy(key).agg(F.array_sort(F.collect_list(F.least(F.col("b") / F.col("a"), F.lit(1.5)))).alias("x"))
+    v = v.select(key, (F.aggregate("x", F.lit(0.0), lambda t, r: t + r) / F.size("x")).alias("ratio"))
     redux = F.greatest(F.lit(20.0), F.least(F.lit(100.0), 100 - (F.col("ratio") - 0.70) / 0.30 * 60))
     tempo = F.greatest(F.lit(0.0), 100 * (1 - 0.5 * F.abs(F.col("rate") - 3) / 3))
     out = w.join(s, key, "left").join(v, key, "left").join(rates.select(key, "rate"), key, "left")
