@@ -191,3 +191,31 @@ def test_cosine_neighbours_of_every_row(spark, tmp_path):
         for a in want:
             assert [b for _, b in sorted((-round(x, 6), b) for x, b in got[a])] == [b for _, b in sorted((round(x, 6), b) for x, b in want[a][:n])]
     assert ranking.cosine_neighbours(e.limit(0), 5).collect() == []
+
+
+def test_cosine_neighbours_meet_copies_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [[float(np.float32(x)) for x in rng.normal(size=4)] for _ in range(30)]
+    # copies, a zero vector, an id of two different rows, tiny and infinite lengths
+    rows = [(i, base[i % 30]) for i in range(240)] + [(900, [0.0] * 4), (3, base[7]), (3, [1e-6, 0.0, 0.0, 2e-6]), (901, [1e-5] * 4), (902, [float("inf"), 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((x * x).sum(1))
+        cos = np.round(x @ x.T / (norm[:, None] * norm[None, :] + 1e-8), 12)
+    pairs = sorted((a, np.isnan(c) and -np.inf or -c, b) for i, a in enumerate(ids.tolist()) for b, c in zip(ids.tolist(), cos[i].tolist(), strict=True) if a != b)
+    want, seen = [], {}
+    for a, c, b in pairs:
+        seen[a] = seen.get(a, 0) + 1
+        if seen[a] <= 6:
+            want.append((a, b))
+    for kw in ({}, {"block": 20, "part": 33}):
+        out = ranking.cosine_neighbours(df, 6, **kw)
+        assert sorted((r.a, r.b) for r in out.collect()) == sorted(want)
+    # eight copies of thirty vectors are met as thirty
+    nearest = ranking.Nearest(np.arange(5), np.zeros(5, bool), x[:5], 3)
+    nearest.meet(ids[:30], x[:30])
+    kept = np.concatenate([k for _, k, _ in nearest.found()])
+    assert len(kept) == 15 and set(kept[::3]) == set(range(5))
