@@ -169,14 +169,18 @@ def summary(word_rows: DataFrame, key: str = "recording_id") -> DataFrame:
 
 def word_plot(word_rows: DataFrame, key: str = "recording_id") -> DataFrame:
     """Layers to draw a word: the word, its syllables, their cores and its nuclei, on the recording's time axis."""
-    w = word_rows.select(key, "word_idx", F.lit("word").alias("layer"), "start", "end", F.col("word").alias("label"))
-    s = word_rows.select(key, "word_idx", F.col("start").alias("t"), F.explode("syllableAnalysis").alias("s"))
-    syl = s.select(key, "word_idx", F.lit("syllable").alias("layer"), (F.col("t") + F.col("s.startSec")).alias("start"), (F.col("t") + F.col("s.endSec")).alias("end"), F.col("s.syllable").alias("label"))
-    c = F.col("s.acoustics.core")
-    base = F.col("t") + F.col("s.startSec")
-    core = s.filter(c.isNotNull()).select(key, "word_idx", F.lit("core").alias("layer"), (base + c["startInSyl"]).alias("start"), (base + c["endInSyl"]).alias("end"), F.col("s.syllable").alias("label"))
-    n = word_rows.select(key, "word_idx", F.explode("v2Nuclei").alias("n")).select(key, "word_idx", F.lit("nucleus").alias("layer"), F.col("n.timeSec").alias("start"), F.col("n.timeSec").alias("end"), F.format_string("%.2f", F.col("n.confidence")).alias("label"))
-    return w.unionByName(syl).unionByName(core).unionByName(n)
+    layer = lambda name, start, end, label: F.struct(F.lit(name).alias("layer"), start.alias("start"), end.alias("end"), label.alias("label"))
+    some = lambda c, f: F.coalesce(F.transform(c, f), F.array())
+    base = lambda s: F.col("start") + s["startSec"]
+    core = lambda s: s["acoustics"]["core"]
+    # all layers from one pass over the words
+    layers = F.concat(
+        F.array(layer("word", F.col("start"), F.col("end"), F.col("word"))),
+        some(F.col("syllableAnalysis"), lambda s: layer("syllable", base(s), F.col("start") + s["endSec"], s["syllable"])),
+        some(F.filter("syllableAnalysis", lambda s: core(s).isNotNull()), lambda s: layer("core", base(s) + core(s)["startInSyl"], base(s) + core(s)["endInSyl"], s["syllable"])),
+        some(F.col("v2Nuclei"), lambda n: layer("nucleus", n["timeSec"], n["timeSec"], F.format_string("%.2f", n["confidence"]))),
+    )
+    return word_rows.select(key, "word_idx", F.explode(layers).alias("x")).select(key, "word_idx", "x.*")
 
 
 def formant_points(word_rows: DataFrame, key: str = "recording_id") -> DataFrame:

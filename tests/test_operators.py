@@ -219,3 +219,18 @@ def test_cosine_neighbours_meet_copies_once(spark):
     nearest.meet(ids[:30], x[:30])
     kept = np.concatenate([k for _, k, _ in nearest.found()])
     assert len(kept) == 15 and set(kept[::3]) == set(range(5))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_plot_in_one_pass(spark):
+    syl = "array<struct<syllable:string,startSec:double,endSec:double,acoustics:struct<core:struct<startInSyl:double,endInSyl:double>>>>"
+    rows = [("r", 0, "да", 1.0, 2.0, [("да", 0.0, 0.5, (None,)), ("нет", 0.5, 1.0, ((0.1, 0.2),)), ("э", None, 1.0, None)], [(1.25, 0.5), (1.5, None)]), ("r", 1, "ну", 3.0, 4.0, None, None)]
+    df = spark.createDataFrame(rows, f"recording_id string, word_idx int, word string, start double, end double, syllableAnalysis {syl}, v2Nuclei array<struct<timeSec:double,confidence:double>>")
+    out = records.word_plot(df)
+    want = [(0, "word", 1.0, 2.0, "да"), (0, "syllable", 1.0, 1.5, "да"), (0, "syllable", 1.5, 2.0, "нет"), (0, "syllable", None, 2.0, "э"), (0, "core", 1.6, 1.7, "нет"), (0, "nucleus", 1.25, 1.25, "0.50"), (0, "nucleus", 1.5, 1.5, "nu"), (1, "word", 3.0, 4.0, "ну")]
+    assert out.columns == ["recording_id", "word_idx", "layer", "start", "end", "label"]
+    assert [tuple(r)[1:] for r in out.collect()] == want
+    assert plan(out).count("Scan") == 1
