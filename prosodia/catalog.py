@@ -118,8 +118,12 @@ FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN x USING (l_orderkey)
 """)
 def reduction_per_group(spark, d):
     """Lines of an order as syllables; the first is stressed (orders whose first line repeats have no single one)."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount").withColumn("st", F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))).distinct()
-    firsts = F.count(F.when(F.col("l_linenumber") == F.col("st"), 1)).over(Window.partitionBy("l_orderkey"))
+    values = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+    order, line = Window.partitionBy("l_orderkey"), F.struct(*values)
+    # equal lines lie side by side in the one sort that the later steps share
+    li = table(spark, d, "lineitem").select("l_orderkey", *values).withColumn("again", F.lag(line).over(order.orderBy(*values)).eqNullSafe(line)).filter(~F.col("again")).drop("again")
+    li = li.withColumn("st", F.min("l_linenumber").over(order))
+    firsts = F.count(F.when(F.col("l_linenumber") == F.col("st"), 1)).over(order)
     li = li.withColumn("st", F.when(firsts == 1, F.col("st")).otherwise(F.lit(None)))
     out = stats.reduction_per_group(li.withColumn("__i", F.col("l_linenumber")), ["l_orderkey"], "__i", "st", "l_quantity", "l_extendedprice", "l_discount", F.lit(True))
     return rounded(out, "reduction_score")

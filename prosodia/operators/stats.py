@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +137,19 @@ def reduction_per_group(df: DataFrame, key: list[str], index: str, stressed: str
     Words without a unit to check score 100.
     """
     values = (duration, energy, central)
-    ref = df.filter(F.col(index) == F.col(stressed)).select(*key, *[F.col(v).alias(f"__r{i}") for i, v in enumerate(values)])
-    own = df.filter((F.col(index) != F.col(stressed)) & reducible).join(ref, key)
-    ratio = [F.col(v) / F.when(F.col(f"__r{i}") == 0, 1e-6).otherwise(F.col(f"__r{i}")) for i, v in enumerate(values)]
-    known = (F.col(central) >= 0) & (F.col("__r2") >= 0)
-    bad = (ratio[0] >= limits[0]) | (ratio[1] >= limits[1]) | (known & (ratio[2] >= limits[2]))
-    g = own.groupBy(*key).agg(F.count("*").alias("checked"), F.count(F.when(bad, 1)).alias("errors"))
-    out = df.select(*key).distinct().join(g, key, "left")
+    # the stressed units of a word stand beside each of its units; a word without a whole key has none
+    ref = F.collect_list(F.when(F.col(index) == F.col(stressed), F.struct(*[F.col(v).alias(f"r{i}") for i, v in enumerate(values)]))).over(Window.partitionBy(*key))
+    named = reduce(and_, [F.col(k).isNotNull() for k in key])
+    own = (F.col(index) != F.col(stressed)) & reducible & named
+
+    def bad(r: Column) -> Column:
+        ratio = [F.col(v) / F.when(r[f"r{i}"] == 0, 1e-6).otherwise(r[f"r{i}"]) for i, v in enumerate(values)]
+        known = (F.col(central) >= 0) & (r["r2"] >= 0)
+        return (ratio[0] >= limits[0]) | (ratio[1] >= limits[1]) | (known & (ratio[2] >= limits[2]))
+
+    rows = df.withColumn("__own", own).withColumn("__ref", ref)
+    one = rows.select(*key, F.when(F.col("__own"), F.size("__ref")).otherwise(0).alias("n"), F.when(F.col("__own"), F.size(F.filter("__ref", bad))).otherwise(0).alias("bad"))
+    out = one.groupBy(*key).agg(F.sum("n").alias("checked"), F.sum("bad").alias("errors"))
     checked, errors = F.coalesce("checked", F.lit(0)), F.coalesce("errors", F.lit(0))
     score = F.when(checked == 0, 100.0).otherwise((checked - errors) * 100.0 / F.nullif(checked, F.lit(0)))
     return out.select(*key, checked.alias("checked"), errors.alias("errors"), score.alias("reduction_score"), (errors > 0).alias("has_issue"))

@@ -234,3 +234,25 @@ def test_word_plot_in_one_pass(spark):
     assert out.columns == ["recording_id", "word_idx", "layer", "start", "end", "label"]
     assert [tuple(r)[1:] for r in out.collect()] == want
     assert plan(out).count("Scan") == 1
+
+
+def test_reduction_in_one_sort(spark):
+    rows = [("a", 0, 0, 1.0, 1.0, 1.0), ("a", 1, 0, 0.5, 0.5, 0.5), ("a", 2, 0, 0.9, 0.1, None), ("a", 3, 0, 0.1, 0.1, -1.0), ("b", 0, None, 1.0, 1.0, 1.0), ("b", 1, None, 1.0, 1.0, 1.0)]
+    rows += [(None, 0, 0, 1.0, 1.0, 1.0), (None, 1, 0, 1.0, 1.0, 1.0), ("c", 0, 0, 0.0, 1.0, 1.0), ("c", 0, 0, 9.0, 9.0, 9.0), ("c", 1, 0, 0.1, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "w string, i int, st int, q double, e double, c double")
+    out = stats.reduction_per_group(df, ["w"], "i", "st", "q", "e", "c", F.lit(True))
+    got = {r.w: (r.checked, r.errors, round(r.reduction_score, 3), r.has_issue) for r in out.collect()}
+    # two stressed units are each compared; words without a key or a stressed unit have nothing to check
+    assert got == {"a": (3, 1, 66.667, True), "b": (0, 0, 100.0, False), None: (0, 0, 100.0, False), "c": (2, 1, 50.0, True)}
+    assert plan(out).count("Join") == 0
+
+
+def test_reduction_query_holds_one_exchange(spark, tmp_path):
+    from prosodia import catalog
+
+    rows = [(1, 1, 5.0, 1.0, 0.1), (1, 1, 5.0, 1.0, 0.1), (1, 2, 5.0, 1.0, 0.1), (1, 2, 5.0, 1.0, 0.1), (2, 1, 5.0, 1.0, 0.1), (2, 1, 6.0, 1.0, 0.1), (2, 2, 1.0, 1.0, 0.1), (3, 4, 1.0, None, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["reduction_per_group"](spark, str(tmp_path))
+    assert sorted((r.l_orderkey, r.checked, r.errors, r.has_issue) for r in out.collect()) == [(1, 1, 1, True), (2, 0, 0, False), (3, 0, 0, False)]
+    text = plan(out).split("Initial Plan")[-1]
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1
