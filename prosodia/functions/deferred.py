@@ -23,3 +23,16 @@ def arrow_function(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def array_function(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
+    """The same for a function of Arrow arrays (``arrow_udf``): rows become Python objects only where it makes them so."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        def call(*columns) -> Column:
+            return F.arrow_udf(f, ddl)(*columns)
+
+        call.__name__, call.__doc__ = f.__name__, f.__doc__
+        return call
+
+    return wrap

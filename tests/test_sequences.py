@@ -138,3 +138,23 @@ def test_differences_and_transferred_times_as_columns(spark):
     out = spark.createDataFrame([(mine, other)], f"a array<{word}>, b array<{word}>").select(align.merged_times("a", "b").alias("m")).first().m
     # two words against one: their span is scaled into the other's
     assert [(w.word, round(w.start, 3), round(w.end, 3), w.timing_source) for w in out] == [("один", 0.1, 0.5, "times"), ("два", 0.6, 0.76, "times"), ("пять", 0.8, 1.0, "times")]
+
+
+def test_alignments_leave_arrow_memory_by_pieces(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = pa.array([[f"w{i % 7}{k}" for k in range(50)] for i in range(8000)])
+    tracemalloc.start()
+    out = align._by_pieces(words, words, lambda a, b: [len(a), len(b)], pa.list_(pa.int32()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all 800,000 words as objects take over 40 MB
+    assert len(out) == 8000 and out[-1].as_py() == [50, 50] and peak < 15 << 20
+    left, right = pa.array([["a", "b"], None, [], ["a", None, "c"]]), pa.array([["a", "c"], ["x"], None, ["a", "c", "c"]])
+    want = [align.diff_words(a or [], b or []) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+    for most in (1, 3, 1000):
+        monkeypatch.setattr(align, "AT_ONCE", most)
+        assert align._by_pieces(left, right, align.diff_words, align._DIFFERENCE).to_pylist() == want
+    assert align._by_pieces(left[:0], right[:0], align.diff_words, align._DIFFERENCE).to_pylist() == []
